@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import mixing, warc, word_repeats
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_warc": warc.query,
+    "op4_word_repeats": word_repeats.query,
 }
 SQL = {
     "op1_mix_sources": mixing.SQL,
     "op2_warc": warc.SQL,
+    "op4_word_repeats": word_repeats.SQL,
 }
