@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, warc, word_repeats
+from . import byte_repeats, mixing, warc, word_repeats
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_warc": warc.query,
+    "op3_byte_repeats": byte_repeats.query,
     "op4_word_repeats": word_repeats.query,
 }
 SQL = {

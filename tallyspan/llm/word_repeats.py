@@ -10,7 +10,7 @@ documents share costs n rows and never n * n pairs.
 
 from __future__ import annotations
 
-import hashlib
+
 from collections.abc import Iterator
 
 import numpy as np
