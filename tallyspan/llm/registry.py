@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_repeats, mixing, near_copies, warc, word_repeats
+from . import byte_repeats, languages, mixing, near_copies, warc, word_repeats
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_warc": warc.query,
     "op3_byte_repeats": byte_repeats.query,
     "op4_word_repeats": word_repeats.query,
+    "op5_languages": languages.query,
     "op7_near_copies": near_copies.query,
 }
 SQL = {
