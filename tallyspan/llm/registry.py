@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_repeats, languages, mixing, near_copies, toxicity, warc, word_repeats
+from . import byte_repeats, contamination, languages, mixing, near_copies, toxicity, warc, word_repeats
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -11,10 +11,12 @@ QUERIES = {
     "op4_word_repeats": word_repeats.query,
     "op5_languages": languages.query,
     "op7_near_copies": near_copies.query,
+    "op9_contamination": contamination.query,
     "op10_toxicity": toxicity.query,
 }
 SQL = {
     "op1_mix_sources": mixing.SQL,
     "op2_warc": warc.SQL,
     "op4_word_repeats": word_repeats.SQL,
+    "op9_contamination": contamination.SQL,
 }
