@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_repeats, contamination, languages, mixing, near_copies, toxicity, warc, word_repeats
+from . import byte_repeats, contamination, languages, mixing, near_copies, quality, toxicity, warc, word_repeats
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_word_repeats": word_repeats.query,
     "op5_languages": languages.query,
     "op7_near_copies": near_copies.query,
+    "op8_quality": quality.query,
     "op9_contamination": contamination.query,
     "op10_toxicity": toxicity.query,
 }
