@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_repeats, contamination, languages, mixing, near_copies, quality, toxicity, warc, word_repeats
+from . import byte_repeats, contamination, languages, mixing, near_copies, quality, toxicity, url_filter, warc, word_repeats
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_repeats": byte_repeats.query,
     "op4_word_repeats": word_repeats.query,
     "op5_languages": languages.query,
+    "op6_url_filter": url_filter.query,
     "op7_near_copies": near_copies.query,
     "op8_quality": quality.query,
     "op9_contamination": contamination.query,
