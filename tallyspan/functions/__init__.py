@@ -1 +1 @@
-
+"""Column functions that the measures share."""
