@@ -1 +1,65 @@
-"""Queries."""
+"""Families of copies and repeated runs over documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import sequences
+from ..operators import similar as S
+from . import query
+
+
+@query("""
+WITH f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS family, count(*) OVER (PARTITION BY text) AS size FROM documents)
+SELECT doc_id, family, size FROM f WHERE size > 1
+""")
+def exact_families(read):
+    """Documents of equal text."""
+    return S.exact_families(read("documents"), "doc_id", F.col("text"))
+
+
+_NEAR = """
+base AS (SELECT doc_id, text, string_split(lower(text), ' ') AS ws FROM documents WHERE n_chars BETWEEN 200 AND 1200), heads AS (SELECT min(doc_id) AS k, text FROM base GROUP BY text
+), sets AS (SELECT k, t, count(*) AS c FROM (SELECT k, unnest(string_split(lower(text), ' ')) AS t FROM heads) GROUP BY ALL), sizes AS (SELECT k, sum(c) AS n FROM sets GROUP BY k
+), shared AS (SELECT x.k AS a, y.k AS b, sum(least(x.c, y.c)) AS s FROM sets x JOIN sets y ON x.t = y.t AND x.k < y.k GROUP BY ALL
+), pairs AS (SELECT a, b, (s * 20000 // (p.n + q.n))::BIGINT AS bp FROM shared JOIN sizes p ON p.k = a JOIN sizes q ON q.k = b WHERE s * 20000 // (p.n + q.n) >= 7500)
+"""
+
+
+def _bodies(read):
+    return read("documents").where("n_chars between 200 and 1200")
+
+
+@query(f"""
+WITH RECURSIVE {_NEAR}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT k AS node, k AS other FROM heads UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a
+), part AS (SELECT node, min(other) AS family FROM r GROUP BY node), named AS (SELECT doc_id, family FROM base JOIN heads USING (text) JOIN part ON node = k), f AS (SELECT *, count(*) OVER (PARTITION BY family) AS size FROM named)
+SELECT doc_id, family, size FROM f WHERE size > 1
+""")
+def near_families(read):
+    """Families of near copies among documents of 200 to 1,200 characters."""
+    return S.near_families(_bodies(read), "doc_id", F.col("text"), F.split(F.lower("text"), " "))
+
+
+@query(f"WITH {_NEAR} SELECT a, b, bp FROM pairs")
+def near_pairs(read):
+    """Pairs of such texts, one of each exact family, with their similarity in parts of ten thousand."""
+    heads = _bodies(read).groupBy("text").agg(F.min("doc_id").alias("k"))
+    return S.near_pairs(heads, "k", F.split(F.lower("text"), " "))
+
+
+# Runs grow line by line while they stand elsewhere; the longest from each place is kept if no other site of it has the same line before.
+@query("""
+WITH RECURSIVE lines AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS text FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents WHERE text <> '')
+), runs AS (
+  SELECT doc_id, i, 1 AS n, md5(text) AS h FROM (SELECT *, count(*) OVER (PARTITION BY text) AS c FROM lines) WHERE c > 1
+  UNION ALL
+  SELECT doc_id, i, n, h FROM (SELECT r.doc_id, r.i, r.n + 1 AS n, md5(r.h || md5(l.text)) AS h, count(*) OVER (PARTITION BY md5(r.h || md5(l.text))) AS c FROM runs r JOIN lines l ON l.doc_id = r.doc_id AND l.i = r.i + r.n) WHERE c > 1
+), longest AS (SELECT doc_id, i, max(n) AS n, arg_max(h, n) AS h FROM runs GROUP BY ALL HAVING max(n) >= 3
+), sites AS (SELECT g.doc_id, g.i, g.n, count(*) AS sites, count(*) FILTER (b.text = a.text) AS same FROM longest g JOIN runs r ON r.h = g.h AND r.n = g.n
+  LEFT JOIN lines a ON a.doc_id = g.doc_id AND a.i = g.i - 1 LEFT JOIN lines b ON b.doc_id = r.doc_id AND b.i = r.i - 1 GROUP BY ALL)
+SELECT doc_id, i::INT AS first, n::INT AS lines, sites FROM sites WHERE same <= 1
+""")
+def repeated_runs(read):
+    """Stretches of three and more lines that documents repeat."""
+    rows = sequences.lines(read("documents"), "doc_id", "text")
+    return S.repeated_runs(rows, "doc_id", "line", F.col("text"))
