@@ -90,7 +90,8 @@ class Watch:
         elif r.event == "end":
             if r.invocation not in self.open:
                 return self.fail(r.seq, "end without a beginning")
-            late = r.elapsed_ms > self.open.pop(int(r.invocation))
+            until = self.open.pop(int(r.invocation))
+            late = until < 0 or r.elapsed_ms > until
             out.append((r.seq, "late" if late else "done", str(int(r.invocation))))
         elif r.event == "terminal":
             if self.open:
@@ -101,9 +102,9 @@ class Watch:
 
     def passed(self, seq: int, now: int, keep: int | None = None) -> list[tuple]:
         """Invocations whose deadline this time passes; each is told once."""
-        over = [i for i, until in self.open.items() if until < now and i != keep]
+        over = [i for i, until in self.open.items() if 0 <= until < now and i != keep]
         for i in over:
-            self.open[i] = 1 << 62
+            self.open[i] = -1
         return [(seq, "overdue", str(i)) for i in over]
 
 
