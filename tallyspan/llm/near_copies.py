@@ -10,8 +10,9 @@ on the full sets:
 1. each bucket links its members to its least member (a star, never all pairs);
 2. where a bucket still holds several components, each member outside the
    largest tries the most similar signature of another component;
-3. where it still does, all pairs of different components whose signatures may
-   reach the threshold are tried, so that no link depends on a star's centre.
+3. where it still does, the documents of such buckets are compared in blocks,
+   each pair of different components that shares a bucket by its full sets, so
+   that no link depends on a star's centre.  Only confirmed links leave a block.
 """
 
 from __future__ import annotations
@@ -150,45 +151,99 @@ def _sizes(x, y, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _across(percent: int, best_only: bool):
-    """An applyInArrow function over one bucket: pairs of different components that may be similar enough, by signature."""
+def _across(percent: int):
+    """An applyInArrow function over one bucket: for each member outside its largest component, the most similar signature of another."""
     share = percent / 100
     floor = share - SLACK * float(np.sqrt(share * (1 - share) / (2 * PERMUTATIONS)))
 
     def run(rows: pa.Table) -> pa.Table:
         node, n, part = (rows.column(c).to_numpy() for c in ("node", "n", "component"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        parts, inverse, sizes = np.unique(part, return_inverse=True, return_counts=True)
-        outside = np.flatnonzero(inverse != np.argmax(sizes))
-        rank = np.full(len(node), -1)
-        rank[outside] = np.arange(len(outside))
+        _, inverse, sizes = np.unique(part, return_inverse=True, return_counts=True)
         a, b = [], []
-        for i in outside:
-            may = (part != part[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (rank < rank[i])
-            near = np.flatnonzero(may)
+        for i in np.flatnonzero(inverse != np.argmax(sizes)):
+            near = np.flatnonzero((part != part[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent))
             if not len(near):
                 continue
             alike = (sketch[near] == sketch[i]).mean(axis=1)
-            good = near[alike >= floor]
-            if best_only and len(good):
-                good = near[[int(np.argmax(alike))]]
-            a.append(np.minimum(node[i], node[good]))
-            b.append(np.maximum(node[i], node[good]))
-        none = np.empty(0, np.int64)
-        return pa.table([pa.array(np.concatenate(a) if a else none), pa.array(np.concatenate(b) if b else none)], names=["a", "b"])
+            best = int(np.argmax(alike))
+            if alike[best] >= floor:
+                a.append(min(node[i], node[near[best]]))
+                b.append(max(node[i], node[near[best]]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+#: Documents in a block; a group of more is compared block by block.
+BLOCK = 2000
+
+
+def _blocks(percent: int):
+    """An applyInArrow function over a pair of blocks: links between components, by the full sets of documents that share a bucket."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, n, part, block = (rows.column(c).to_numpy() for c in ("node", "n", "component", "block"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        _, part = np.unique(part, return_inverse=True)
+        keys = rows.column("keys").combine_chunks()
+        owner = np.repeat(np.arange(len(node)), pa.compute.list_value_length(keys).to_numpy(zero_copy_only=False))
+        key = keys.flatten().to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        mine = [[] for _ in node]
+        for o, k in zip(owner, of, strict=True):
+            mine[o].append(owner[bounds[k] : bounds[k + 1]])
+        one = rows.column("lo")[0].as_py() == rows.column("hi")[0].as_py()
+        a, b = [], []
+        for i in range(len(node)):
+            near = np.unique(np.concatenate(mine[i]))
+            near = near[(near > i) & (part[near] != part[i])]
+            near = near[(np.minimum(n[near], n[i]) * 100 >= np.maximum(n[near], n[i]) * percent)]
+            if not one:
+                near = near[block[near] != block[i]]
+            for j in near:
+                if part[j] != part[i] and _linked(sets[i], sets[j], percent):
+                    part[part == part[j]] = part[i]  # what this joins needs no other link
+                    a.append(node[i])
+                    b.append(node[j])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def rest(open_rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """u, v: the links that remain between components of documents that share a bucket.
+
+    Documents whose buckets touch form a group; a group of more than ``block``
+    is dealt to pairs of blocks, so a task never holds more than two, and each
+    document's set goes to as many tasks as its group has blocks.
+    """
+    star = open_rows.groupBy("key").agg(F.min("node").alias("centre"))
+    groups = components(open_rows.join(star, "key").select("centre", "node"))
+    docs = open_rows.groupBy("node").agg(F.collect_list("key").alias("keys"), F.any_value("n").alias("n"), F.any_value("component").alias("component"))
+    docs = docs.join(groups.withColumnsRenamed({"node": "_node", "component": "grp"}), F.col("node") == F.col("_node")).drop("_node")
+    sizes = docs.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    docs = docs.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    docs = docs.join(sets.withColumnsRenamed({"id": "_id"}), F.col("node") == F.col("_id")).drop("_id")
+    dealt = docs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    return dealt.select("grp", "lo", "hi", "block", "node", "n", "component", "keys", "shingles").groupBy("grp", "lo", "hi").applyInArrow(_blocks(percent), "u bigint, v bigint")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
 
     return run
@@ -210,6 +265,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "u bigint, v bigint")
 
 
+def still_open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """key, node, n, component: the members of buckets that hold several components."""
+    parts = components(links)
+    placed = members.join(parts, members["node"] == parts["node"], "left").select("key", members["node"], "n", F.coalesce("component", members["node"]).alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document with its group of near copies.
 
@@ -238,18 +301,12 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     chosen = texts.join(wanted, F.col("doc_id") == F.col("_doc"), "left_semi").dropDuplicates(["doc_id"])
     sets = stage(chosen.mapInArrow(_sets(width), "id bigint, shingles binary"), "shingle-sets")
     links = stage(confirmed(pairs, sets, percent), "links")
-    tried = pairs
-    for best_only in (True, False):
-        parts = components(links)
-        placed = members.join(parts, members["node"] == parts["node"], "left").select("key", members["node"], "n", F.coalesce("component", members["node"]).alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        open_rows = placed.join(mixed, "key", "left_semi")
-        sketches = classes.select(F.col("node").alias("_n"), "sketch")
-        open_rows = open_rows.join(sketches, F.col("node") == F.col("_n")).drop("_n")
-        across = open_rows.groupBy("key").applyInArrow(_across(percent, best_only), "a bigint, b bigint").distinct()
-        more = stage(across.join(tried, ["a", "b"], "left_anti"), "more-pairs")
-        found = stage(confirmed(more, sets, percent), "more-links")
-        links, tried = links.unionByName(found), tried.unionByName(more)
+    open_rows = still_open(members, links)
+    sketches = classes.select(F.col("node").alias("_n"), "sketch")
+    best = open_rows.join(sketches, F.col("node") == F.col("_n")).drop("_n").groupBy("key").applyInArrow(_across(percent), "a bigint, b bigint")
+    links = links.unionByName(stage(confirmed(best.distinct(), sets, percent), "best-links"))
+    open_rows = stage(still_open(members, links), "open-members")
+    links = links.unionByName(stage(rest(open_rows, sets, percent), "rest-links"))
     copies = full.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "node"), ["d1", "d2"]).where("doc_id <> node")
     parts = components(links.unionByName(copies.select(F.col("node").alias("u"), F.col("doc_id").alias("v")).distinct()))
     out = signed.select("doc_id", "n_shingles").join(parts, (F.col("doc_id") == F.col("node")) & (F.col("n_shingles") > 0), "left")
