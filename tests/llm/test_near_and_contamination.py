@@ -57,8 +57,10 @@ def test_blocks_alone_find_every_link(docs, rows, monkeypatch):
 
 def test_one_of_each_group_stays(docs, clash):
     text = " ".join(f"w{i}" for i in range(80))
-    kept = near_copies.keep_one_each(clash(docs([(3, text), (1, text), (2, text + " end"), (None, text), (9, None), (4, "other words here")])))
+    kept = near_copies.keep_one_each(clash(docs([(3, text), (1, text), (2, text + " end"), (None, "no id"), (9, None), (4, "other words here")])))
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 9]
+    first = near_copies.keep_one_each(docs([(3, text), (None, text)]))
+    assert [r["doc_id"] for r in first.collect()] == [None]
     assert near_copies.near_copies(docs([]).limit(0)).count() == 0
 
 
@@ -81,7 +83,7 @@ def test_components(spark, rows):
     for _ in range(100):
         for x, y in edges:
             root[x] = root[y] = min(root[x], root[y])
-    assert found == {k: v for k, v in root.items() if k != 7 or True}
+    assert found == root
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
@@ -110,8 +112,8 @@ def test_contamination_against_brute_force(docs, spark, clash):
     vocabulary = [f"v{i}" for i in range(12)] + ["É", "straße"]
     say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
     items = [(i, say(r.choice([1, 3, 6, 9, 14]))) for i in range(9)] + [(20, None), (21, "!!"), (3, say(8))]
-    texts = [say(r.choice([0, 5, 60])) + " " + r.choice(items)[1] if r.random() < 0.5 and items[0][1] else say(30) for _ in range(20) if True]
-    texts = [t if t is not None else "" for t in texts] + [None, "", "A" * 50, items[4][1].upper().replace(" ", "--")]
+    texts = [say(r.choice([0, 5, 60])) + " " + items[r.randrange(9)][1] if r.random() < 0.5 else say(30) for _ in range(20)]
+    texts += [None, "", "A" * 50, items[4][1].upper().replace(" ", "--")]
     table = spark.createDataFrame(items, "item_id bigint, text string")
     found = {x["doc_id"]: x for x in contamination.judge(clash(docs(texts)), table, 5).collect()}
     for i, t in enumerate(texts):
