@@ -239,7 +239,7 @@ def _rows(model: Model, ids: pa.Array, lettered: np.ndarray, parts: list[tuple],
     spans: list[list[dict]] = [[] for _ in names]
     if with_spans and model.languages:
         new = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (doc[1:] != doc[:-1]))[: len(path)])
-        for a, b in zip(new, np.append(new[1:], len(path)), strict=True):
+        for a, b in zip(new, np.append(new[1:], len(path))[: len(new)], strict=True):
             if sure[doc[a]]:
                 spans[doc[a]].append({"first": a - offsets[doc[a]], "last": b - 1 - offsets[doc[a]], "lang": model.languages[path[a]]})
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))

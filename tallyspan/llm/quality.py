@@ -98,7 +98,7 @@ def base_failed() -> Column:
 
 def transformed() -> list[Column]:
     """Mean word length, and square roots of the shares of symbols, of repeated lines and of repeated words."""
-    n = F.col("n_words").cast("double")
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return [(F.col("word_chars") / n).alias("x0"), F.sqrt(F.col("n_symbols") / n).alias("x1"), F.sqrt(10 * F.col("n_dup_lines") / n).alias("x2"), F.sqrt(F.col("n_repeat_words") / n).alias("x3")]
 
 
