@@ -181,7 +181,7 @@ def test_statistics_and_base_rules(docs, clash):
     stat = lambda i: (found[i]["n_words"], found[i]["word_chars"], found[i]["n_symbols"], found[i]["n_dup_lines"], found[i]["n_repeat_words"])
     assert stat(0) == (7, 7, 0, 0, 6)
     assert stat(1) == (6, 12, 0, 2, 6)
-    assert stat(2) == (2, 5, 3, 0, 0)
+    assert stat(2) == (2, 4, 3, 0, 0)
     assert stat(3) == stat(4) == stat(5) == (0, 0, 0, 0, 0)
     assert stat(6) == (2, 4, 0, 0, 0)
     assert stat(7)[4] == 80 and all(r["base_failed"] and not r["kept"] and r["distance"] is None for r in found.values())
