@@ -47,6 +47,20 @@ def near_pairs(read):
     return S.near_pairs(heads, "k", F.split(F.lower("text"), " "))
 
 
+# All pairs of whole texts are beyond the SQL above at any size, so these two have none; a fixture is compared with brute force.
+@query(None)
+def near_families_whole(read):
+    """Families of near copies among all documents."""
+    return S.near_families(read("documents"), "doc_id", F.col("text"), F.split(F.lower("text"), " "))
+
+
+@query(None)
+def near_pairs_whole(read):
+    """Pairs of all texts, one of each exact family, with their similarity in parts of ten thousand."""
+    heads = read("documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("k"))
+    return S.near_pairs(heads, "k", F.split(F.lower("text"), " "))
+
+
 # Runs grow line by line while they stand elsewhere; the longest from each place is kept if no other site of it has the same line before.
 @query("""
 WITH RECURSIVE lines AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS text FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents WHERE text <> '')
