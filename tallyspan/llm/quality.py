@@ -27,8 +27,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Transformed statistics, in order, with the least standard deviation that each is taken to have in a group.
 FLOORS = {"x0": 0.35, "x1": 0.08, "x2": 0.12, "x3": 0.16}
 DIMS = len(FLOORS)
-#: The share of a group that an estimate covers, concentration steps, and groups smaller than which are pooled.
-COVER, STEPS, MIN_GROUP = 0.75, 4, 100
+#: The share of a group that an estimate covers, concentration steps, and how many documents its language's estimate weighs in a group's own.
+COVER, STEPS, PRIOR = 0.75, 4, 25
 #: Probability, if a group were normal, that a document of it is rejected.
 ALPHA = 1e-7
 BINS = 1000
@@ -176,23 +176,35 @@ def estimate(rows: DataFrame) -> DataFrame:
     return model
 
 
+def _shrunk(own: DataFrame, prior: DataFrame) -> DataFrame:
+    """The models of groups (with n, their documents) mixed with their languages', as n to PRIOR: the moments of the two populations taken together."""
+    w = F.col("n") / (F.col("n") + F.lit(float(PRIOR)))
+    cov_of = lambda c, i, j: reduce(lambda a, b: a + b, [F.col(f"{c}l{i}{k}") * F.col(f"{c}l{j}{k}") for k in range(j + 1)])
+    off = [F.col(f"m{i}") - F.col(f"p_m{i}") for i in range(DIMS)]
+    cov = {(i, j): w * cov_of("", i, j) + (1 - w) * cov_of("p_", i, j) + w * (1 - w) * off[i] * off[j] for i in range(DIMS) for j in range(i + 1)}
+    centre = [(w * F.col(f"m{i}") + (1 - w) * F.col(f"p_m{i}")).alias(f"m{i}") for i in range(DIMS)]
+    prior = prior.select(F.col("key").alias("prior"), *[F.col(c).alias(f"p_{c}") for c in _MODEL[1:]])
+    mixed = own.join(prior, "prior").select("key", *centre, *[v.alias(f"c{i}{j}") for (i, j), v in cov.items()])
+    return _with(mixed, _cholesky({ij: F.col(f"c{ij[0]}{ij[1]}") for ij in cov})).select(*_MODEL)
+
+
 def judge(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, lang, source, the statistics, base_failed, distance, kept: one row for each document.
 
     ``distance`` is the Mahalanobis distance within the document's language and
-    source, null where the base rules reject.  Groups of fewer than MIN_GROUP
-    documents that pass them are judged together.  A null language or source
-    is a value of its own.  Null and empty texts fail the base rules.  Rows
+    source, null where the base rules reject.  A group's estimate is its own at
+    any size, mixed with its language's by n / (n + PRIOR), so it doesn't turn
+    at a count.  A null language or source is a value of its own.  Null and empty texts fail the base rules.  Rows
     that repeat count and are judged one by one; other columns are left out.
     """
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
-    stats = stage(statistics(docs).withColumn("group", F.concat(part("lang"), F.lit("\x1f"), part("source"))), "text-statistics")
+    stats = stage(statistics(docs).withColumns({"prior": part("lang"), "key": F.concat(part("lang"), F.lit("\x1f"), part("source"))}), "text-statistics")
     passed = stats.where(~base_failed())
-    large = passed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_GROUP).select("group", F.col("group").alias("own"))
-    rows = passed.join(large, "group", "left").select("doc_id", F.coalesce("own", F.lit("pooled")).alias("key"), *transformed())
-    model = estimate(stage(rows, "text-vectors"))
-    vectors = stats.join(large, "group", "left").withColumn("key", F.when(~base_failed(), F.coalesce("own", F.lit("pooled"))))
-    vectors = vectors.select("*", *transformed()).join(model, "key", "left")
+    both = passed.select(F.explode(F.array("key", "prior")).alias("key"), *transformed())
+    models = stage(estimate(stage(both, "text-vectors")), "text-models")
+    sizes = passed.groupBy("key", "prior").agg(F.count(F.lit(1)).alias("n"))
+    model = _shrunk(models.join(sizes, "key"), models)
+    vectors = stats.withColumn("key", F.when(~base_failed(), F.col("key"))).select("*", *transformed()).join(model, "key", "left")
     out = vectors.withColumn("distance", _distance()).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed") & (F.col("distance") <= math.sqrt(chi2_quantile(alpha, DIMS // 2)))
     return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", F.coalesce(kept, F.lit(False)).alias("kept"))
