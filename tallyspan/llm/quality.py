@@ -25,7 +25,7 @@ from ._base import pick, stage, table
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Transformed statistics, in order, with the least standard deviation that each is taken to have in a group.
-FLOORS = {"x0": 0.35, "x1": 0.08, "x2": 0.12, "x3": 0.16}
+FLOORS = {"x0": 0.35, "x1": 0.05, "x2": 0.12, "x3": 0.08}
 DIMS = len(FLOORS)
 #: The share of a group that an estimate covers, concentration steps, and how many documents its language's estimate weighs in a group's own.
 COVER, STEPS, PRIOR = 0.75, 4, 25
