@@ -151,8 +151,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes
 
     Earlier is a smaller doc_id, or the same document at an earlier byte.
     Strings are of the UTF-8 bytes of whole texts and never cross documents;
-    null and empty texts have none.  A null id precedes every other.  Rows that
-    repeat an id count as one document, with their bytes at equal places.
+    null and empty texts have none.  A null id precedes every other.  Ids must
+    tell rows apart: ``_with_cuts`` gives rows keys where they don't.
     """
     texts = R.text_of(docs)
     met = stage(R.meet(texts, anchors(window, gram), buckets(texts, R.BUCKET_BYTES), False), "byte-anchors")
@@ -196,15 +196,29 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 REMOVED = "doc_id bigint, n_bytes bigint, spans array<struct<first:int,last:int>>, kept binary"
 
 
+def _row_keys(texts: DataFrame) -> DataFrame:
+    """doc_id, _digest, _row: a number for each different row (id and text), in the order of ids, null first."""
+    pairs = texts.select("doc_id", F.xxhash64("text").alias("_digest")).distinct().repartitionByRange("doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
+    return stage(pairs.withColumn("_row", F.monotonically_increasing_id()), "byte-rows")  # ranges are in order, so these numbers are
+
+
 def _with_cuts(docs: DataFrame, window: int, *more: str) -> DataFrame:
     texts = R.text_of(docs, *more)
+    if not texts.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        keys = _row_keys(texts).withColumnsRenamed({"doc_id": "_id", "_digest": "_d"})
+        keyed = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_d"))).withColumn("_own", F.col("doc_id"))
+        keyed = keyed.withColumn("doc_id", F.col("_row")).select("doc_id", "text", "_own", *more)
+        cuts = R.by_document(repeats(keyed.select("doc_id", "text").dropDuplicates(["doc_id"]), window), "cuts")
+        return R.with_lists(keyed, cuts, "left").select(F.col("_own").alias("doc_id"), "text", "cuts", *more)
     return R.with_lists(texts, R.by_document(repeats(docs, window), "cuts"), "left").select("doc_id", "text", "cuts", *more)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, spans, kept: removed spans (first byte, byte after the last) and the bytes that stay, for every document.
 
-    One row for each input row; null and empty texts have no bytes.  What stays
+    One row for each input row; null and empty texts have no bytes.  Rows of
+    equal id and text are one document and lose the same bytes; other rows that
+    share an id, or have none, are documents of their own.  What stays
     is bytes, as a span may begin or end inside a character.  Other columns
     are left out.
     """
