@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -208,8 +209,18 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
+    def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((x.as_py(), part.as_py() or b"") for batch in batches for x, part in zip(batch.column(1), batch.column(0), strict=True))
+        for _, of_file in groupby(pairs, lambda x: x[0]):
+            yield from read(pa.record_batch([pa.array([part], pa.binary())], names=["value"]) for _, part in of_file)
+
     lines = spark.read.option("lineSep", SEPARATOR).option("recursiveFileLookup", "true").text(path)
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(read, RECORD)
+    lines = lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    packed = F.lower("file").endswith(".gz")
+    # Spark cuts plain files into splits that may begin inside a record: their parts are put in order again, so that one parser reads a file from its start.
+    plain = lines.where(~packed).withColumn("place", F.monotonically_increasing_id())
+    plain = plain.repartition("file").sortWithinPartitions("file", "block", "place").select("value", "file")
+    return lines.where(packed).select("value").mapInArrow(read, RECORD).unionByName(plain.mapInArrow(read_files, RECORD))
 
 
 def assemble(records: DataFrame) -> DataFrame:
