@@ -47,7 +47,7 @@ def near_pairs(read):
     return S.near_pairs(heads, "k", F.split(F.lower("text"), " "))
 
 
-# All pairs of whole texts are beyond the SQL above at any size, so these two have none; a fixture is compared with brute force.
+# These two have no SQL (all pairs by SQL over whole texts were not timed); a fixture is compared with brute force.
 @query(None)
 def near_families_whole(read):
     """Families of near copies among all documents."""
