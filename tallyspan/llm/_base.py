@@ -16,7 +16,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
     Columns are taken by position, so other columns whose names differ only in
     case, or that repeat a name, can neither clash nor be read by mistake.  A
-    column that is absent becomes an untyped null.
+    column that is absent is an error: missing input must not look like a clean result.
     """
     have = df.columns
     flat = df.toDF(*[f"_c{i}" for i in range(len(have))])
@@ -27,7 +27,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
             return F.col(f"_c{have.index(name)}").alias(name)
         if name.lower() in lowered:
             return F.col(f"_c{lowered.index(name.lower())}").alias(name)
-        return F.lit(None).alias(name)
+        raise ValueError(f"the table has no column {name}; it has {', '.join(have) or 'none'}")
 
     return flat.select(*[one(n) for n in names])
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes that the first sort compares at once.
-FIRST = 8
+#: Bytes that the first sort compares at once; the eighth of its key holds how many there are.
+FIRST = 7
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -23,11 +23,21 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     key = np.zeros(n, np.uint64)
     for j in range(FIRST):
         key = (key << np.uint64(8)) | np.where(left > j, padded[j : j + n], np.uint64(0))
-    short = np.minimum(left, FIRST + 1).astype(np.int8)
-    order = np.lexsort((short, key))
-    k, s = key[order], short[order]
+    del padded
+    key = (key << np.uint64(8)) | np.minimum(left, FIRST + 1).astype(np.uint64)
+
+    def in_place(these: np.ndarray, by: np.ndarray, done: np.ndarray) -> None:
+        """Of suffixes that are equal as wholes, the earlier position first."""
+        at = np.flatnonzero(done)
+        these[at] = these[at][np.lexsort((these[at], by[at]))]
+
+    order = np.argsort(key)
+    k = key[order]
+    short = (k & np.uint64(255)) <= FIRST
+    in_place(order, k, short)
     new = np.ones(n + 1, bool)
-    new[1:n] = (k[1:] != k[:-1]) | (s[1:] != s[:-1]) | (s[1:] <= FIRST)
+    new[1:n] = (k[1:] != k[:-1]) | short[1:]
+    del k, short
     rank = np.empty(n, np.int64)
 
     def number(at: np.ndarray, fresh: np.ndarray) -> None:
@@ -41,12 +51,13 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     while len(open_at):
         these = order[open_at]
         further = np.where(left[these] > reach, rank[np.minimum(these + reach, n - 1)], -1)
-        mine = rank[these]
-        by = np.lexsort((these, further, mine))
-        these, mine, further = these[by], mine[by], further[by]
+        both = rank[these].astype(np.uint64) * np.uint64(n + 1) + (further + 1).astype(np.uint64)
+        by = np.argsort(both)
+        these, both, done = these[by], both[by], further[by] == -1
+        in_place(these, both, done)
         order[open_at] = these
         fresh = np.ones(len(these) + 1, bool)
-        fresh[1:-1] = (mine[1:] != mine[:-1]) | (further[1:] != further[:-1]) | (further[1:] == -1)
+        fresh[1:-1] = (both[1:] != both[:-1]) | done[1:]
         number(open_at, fresh)
         open_at = open_at[~(fresh[:-1] & fresh[1:])]
         reach *= 2
@@ -58,7 +69,7 @@ def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray, key:
 
     Kasai's observation in its permuted form: where the bytes before a suffix
     and before its predecessor agree, its value is one less than its left
-    neighbour's.  So only the other positions are compared, eight bytes at a
+    neighbour's.  So only the other positions are compared, seven bytes at a
     time, and their values run on to the right.
     """
     n = len(data)
@@ -81,10 +92,10 @@ def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray, key:
     while len(active):
         a, b, o = look[active], other[active], done[active]
         step = np.minimum(most[active] - o, FIRST)
-        x = key[np.minimum(a + o, n - 1)] ^ key[np.minimum(b + o, n - 1)]
+        x = (key[np.minimum(a + o, n - 1)] ^ key[np.minimum(b + o, n - 1)]) >> np.uint64(8)
         equal = np.full(len(active), FIRST)
         for j in range(FIRST - 1, -1, -1):
-            equal[(x >> np.uint64(56 - 8 * j)) & np.uint64(255) != 0] = j
+            equal[(x >> np.uint64(8 * (FIRST - 1 - j))) & np.uint64(255) != 0] = j
         got = np.minimum(equal, step)
         done[active] = o + got
         active = active[(got == FIRST) & (step == FIRST)]

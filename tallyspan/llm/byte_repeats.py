@@ -1,12 +1,11 @@
 """Suffix-array deduplication: every byte covered by a long string that also starts earlier.
 
-Winnowed anchors first narrow the text to stretches whose windows may repeat,
-and settle stretches that are equal as wholes (see ``_repeats``).  The stretches
-left, one for each different text, are dealt to shards by their anchor, so all
-that may be equal is in one shard.  Each shard sorts its suffixes and compares
-neighbours (see ``_suffixes``).  An anchor with more text than a shard should
-hold is dealt over several; what such shards keep as first is then merged
-across shards by binary search.
+Winnowed anchors first narrow the text to stretches whose windows may repeat
+(see ``_repeats``); all of them, copies included, are dealt to shards by their
+anchor, so all that may be equal is in one shard.  Each shard sorts its suffixes
+and compares neighbours (see ``_suffixes``).  An anchor with more text than a
+shard should hold is dealt over several; what such shards keep as first is then
+merged across shards by binary search.
 """
 
 from __future__ import annotations
@@ -21,17 +20,16 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from . import _repeats as R
-from ._base import buckets, pick, stage, table
+from ._base import buckets, table
 from ._suffixes import equal_windows
 
 WINDOW = 100
 #: Bytes in an anchor's gram: with windows of 100 bytes about every 35th byte is an anchor.
 GRAM = 32
-#: Bytes of text in a shard.
-SHARD_BYTES = 2 << 20
+#: Bytes of text in a shard; sorting takes about a hundred bytes of memory for each.
+SHARD_BYTES = 1 << 20
 
-FOUND = "doc_id bigint, first int, last int, shard int, d bigint, merge boolean"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("shard", pa.int32()), ("d", pa.int64()), ("merge", pa.bool_())])
+PIECES = "h bigint, part int, wide boolean, doc bigint, first int, bytes binary"
 
 
 def anchors(window: int, gram: int):
@@ -40,139 +38,73 @@ def anchors(window: int, gram: int):
         for first, _, data, offsets in A.pieces(batch.column(1)):
             if len(data) < window:
                 continue
-            rolling = A.of_bytes(data)
-            grams = rolling.grams(gram)
+            grams = A.of_bytes(data).grams(gram)
             doc, begin, last, anchor = A.winnow(grams, offsets, window, gram)
             if len(doc):
                 start = offsets[doc]
-                yield {"h": grams[anchor], "c": rolling.spans(begin, last + window) ^ A.mix((last - begin + 1).astype(np.uint64)), "doc": docs[first + doc], "first": begin - start, "last": last - start}
+                yield {"h": grams[anchor], "doc": docs[first + doc], "first": begin - start, "last": last - start, "at": anchor - start}
 
     return produce
 
 
 def _stretches(window: int):
-    """The bytes of every open stretch of a document."""
+    """The bytes of every listed stretch of a document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, lists = (batch.column(i).to_pylist() for i in range(3))
-            rows = []
-            for doc, text, opened in zip(ids, texts, lists, strict=True):
-                raw = (text or "").encode("utf-8")
-                rows += [(R.NULL_ID if doc is None else doc, o["first"], o["h"], raw[o["first"] : o["last"] + window]) for o in opened if o["last"] + window <= len(raw)]
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["doc_id", "first", "h", "bytes"])
+            docs = R.ids(batch.column(0))
+            lists, (first, last, h, part, wide) = R.flat(batch.column(2), "first", "last", "h", "part", "wide")
+            for begin, end, data, offsets in A.pieces(batch.column(1)):
+                a, b = lists[begin], lists[end]
+                row = np.repeat(np.arange(end - begin), np.diff(lists[begin : end + 1]))
+                size = (last[a:b] - first[a:b] + window).astype(np.int64)
+                cuts = np.append(0, np.cumsum(size))
+                at = np.repeat(offsets[row] + first[a:b] - cuts[:-1], size) + np.arange(cuts[-1])
+                raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data[at])])
+                yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), pa.array(part[a:b]), pa.array(wide[a:b]), pa.array(docs[begin + row]), pa.array(first[a:b]), raw], names=["h", "part", "wide", "doc", "first", "bytes"])
 
     return cut
 
 
-def _spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of removed windows as runs (document, first, last)."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))[: len(doc)]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    return doc[first], start[first], start[last[: len(first)]]
-
-
-def _first_of(group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of each group's least (document, start), and of the others."""
-    order = np.lexsort((start, doc, group))
-    new = np.append(True, group[order][1:] != group[order][:-1])[: len(order)]
-    return order[new], order[~new]
-
-
-def _found(doc, first, last, shard=None, d=None) -> pa.Table:
-    n = len(doc)
-    return pa.table(
-        [pa.array(doc, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(n, -1 if shard is None else shard, np.int32)), pa.array(np.zeros(n, np.int64) if d is None else d.view(np.int64)), pa.array(np.full(n, d is not None))],
-        schema=_FOUND,
-    )
-
-
 def sort_shard(window: int):
-    """An applyInArrow function: removed windows of a shard, and the firsts that still have to meet other shards'."""
+    """Of a shard's rows: the removed windows, and the firsts that still have to meet other shards'."""
 
     def run(rows: pa.Table) -> pa.Table:
-        raw = rows.column("bytes").to_pylist()
-        sizes = np.array([len(x) for x in raw], np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        stop = np.cumsum(sizes)
-        piece = np.repeat(np.arange(len(raw)), sizes)
-        at, group = equal_windows(data, stop[piece], window)
-        doc_of = rows.column("doc_id").to_numpy()
-        base = rows.column("first").to_numpy().astype(np.int64) - (stop - sizes)
+        rows = rows.combine_chunks()
+        raw = rows.column("bytes").chunk(0)
+        edges = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4).astype(np.int64)
+        data = np.frombuffer(raw.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+        edges -= edges[0]
+        piece = np.repeat(np.arange(len(raw)), np.diff(edges))
+        at, group = equal_windows(data, edges[1:][piece], window)
         of = piece[at]
-        doc, start = doc_of[of], at + base[of]
-        firsts, rest = _first_of(group, doc, start)
-        out = [_found(*_spans(doc[rest], start[rest]))]
-        wide = rows.column("parts").to_numpy() > 1
-        if wide.any():
-            firsts = firsts[wide[of[firsts]]]
-            digest = A.of_bytes(data).spans(at[firsts], at[firsts] + window)
-            shard = rows.column("shard")[0].as_py()
-            out.append(_found(doc[firsts], start[firsts], start[firsts], shard, digest ^ A.mix(rows.column("h").to_numpy().view(np.uint64)[of[firsts]])))
+        doc = rows.column("doc").to_numpy()[of]
+        start = at + (rows.column("first").to_numpy() - edges[:-1])[of]
+        order = np.lexsort((start, doc, group))
+        new = np.append(True, group[order][1:] != group[order][:-1])[: len(order)]
+        firsts, rest = order[new], order[~new]
+        out = [R.found(*R.spans(doc[rest], start[rest]))]
+        firsts = firsts[rows.column("wide").to_numpy()[of[firsts]]]
+        if len(firsts):
+            h, part = rows.column("h").to_numpy().view(np.uint64)[of[firsts]], rows.column("part").to_numpy()[of[firsts]]
+            digest = A.of_bytes(data).spans(at[firsts], at[firsts] + window) ^ A.mix(h)
+            shard = (A.mix(h) ^ part.astype(np.uint64)).view(np.int64)
+            out.append(R.found(doc[firsts], start[firsts], start[firsts], shard, digest))
         return pa.concat_tables(out)
 
     return run
 
 
-def merge_shards(rows: pa.Table) -> pa.Table:
-    """An applyInArrow function: of windows that several shards keep, all but the earliest.
-
-    Each shard's windows form a sorted run.  Runs are merged one after another:
-    binary search finds every window of a run in what has been merged so far.
-    """
-    shard, doc, start = (rows.column(c).to_numpy() for c in ("shard", "doc_id", "first"))
-    key = rows.column("d").to_numpy().view(np.uint64)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    merged = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-    for s in np.unique(shard):
-        mine = np.flatnonzero(shard == s)
-        mine = mine[np.argsort(key[mine], kind="stable")]
-        k, d, p = key[mine], doc[mine], start[mine].astype(np.int64)
-        at = np.searchsorted(merged[0], k)
-        met = np.zeros(len(k), bool)
-        inside = at < len(merged[0])
-        met[inside] = merged[0][at[inside]] == k[inside]
-        old = at[met]
-        later = (d[met] > merged[1][old]) | ((d[met] == merged[1][old]) & (p[met] > merged[2][old]))
-        out.append((d[met][later], p[met][later]))
-        lost = old[~later]
-        out.append((merged[1][lost].copy(), merged[2][lost].copy()))
-        merged[1][lost], merged[2][lost] = d[met][~later], p[met][~later]
-        merged = tuple(np.insert(m, at[~met], v[~met]) for m, v in zip(merged, (k, d, p), strict=True))
-    return _found(*_spans(np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])))
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, first, last, h: starts first..last of ``window``-byte strings that also start earlier.
+def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc, first, last: starts first..last of ``window``-byte strings that also start earlier.
 
     Earlier is a smaller doc_id, or the same document at an earlier byte.
     Strings are of the UTF-8 bytes of whole texts and never cross documents;
-    null and empty texts have none.  A null id precedes every other.  Ids must
-    tell rows apart: ``_with_cuts`` gives rows keys where they don't.
+    null and empty texts have none.  ``texts`` (doc_id, text) has unique ids:
+    ``_repeats.keyed`` gives rows numbers where they aren't.
     """
-    texts = R.text_of(docs)
-    met = stage(R.meet(texts, anchors(window, gram), buckets(texts, R.BUCKET_BYTES), False), "byte-anchors")
-    open_rows = met.where("contested")
-    size = F.sum(F.col("last") - F.col("first") + window)
-    total = open_rows.agg(size).first()[0] or 0  # one number
-    shards = max(8, -(-total // shard_bytes))
-    wide = open_rows.groupBy("h").agg(size.alias("n")).where(F.col("n") > shard_bytes)
-    wide = wide.select(F.col("h").alias("_h"), F.ceil(F.col("n") / shard_bytes).cast("int").alias("_parts"))
-    narrowed = R.with_lists(texts, R.by_document(open_rows, "open"), "inner").select("doc_id", "text", "open")
-    pieces = narrowed.mapInArrow(_stretches(window), "doc_id bigint, first int, h bigint, bytes binary")
-    pieces = pieces.join(wide, F.col("h") == F.col("_h"), "left").withColumn("parts", F.coalesce("_parts", F.lit(1)))
-    part = F.pmod(F.xxhash64("doc_id", "first"), F.col("parts"))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("h", F.lit(7)) + part * 7919, F.lit(shards)).cast("int"))
-    found = pieces.select("shard", "parts", "doc_id", "first", "h", "bytes").groupBy("shard").applyInArrow(sort_shard(window), FOUND)
-    found = stage(found, "byte-shards")
-    ranges = max(8, total // shard_bytes)
-    merged = found.where("merge").withColumn("_range", F.pmod("d", F.lit(ranges))).groupBy("_range").applyInArrow(lambda t: merge_shards(t), FOUND)
-    columns = ["doc_id", "first", "last", F.lit(0).cast("bigint").alias("h")]
-    return met.where("not contested").select(*columns).unionByName(found.where("not merge").select(*columns)).unionByName(merged.select(*columns))
+    weight = F.col("last") - F.col("first") + window
+    return R.compare(texts, anchors(window, gram), _stretches(window), sort_shard(window), buckets(texts, R.BUCKET_BYTES), weight, "bytes", PIECES, shard_bytes, False, "byte")
 
 
 def cut_spans(raw: bytes, cuts: list | None, window: int) -> list[tuple[int, int]]:
@@ -196,21 +128,10 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 REMOVED = "doc_id bigint, n_bytes bigint, spans array<struct<first:int,last:int>>, kept binary"
 
 
-def _row_keys(texts: DataFrame) -> DataFrame:
-    """doc_id, _digest, _row: a number for each different row (id and text), in the order of ids, null first."""
-    pairs = texts.select("doc_id", F.xxhash64("text").alias("_digest")).distinct().repartitionByRange("doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
-    return stage(pairs.withColumn("_row", F.monotonically_increasing_id()), "byte-rows")  # ranges are in order, so these numbers are
-
-
 def _with_cuts(docs: DataFrame, window: int, *more: str) -> DataFrame:
-    texts = R.text_of(docs, *more)
-    if not texts.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
-        keys = _row_keys(texts).withColumnsRenamed({"doc_id": "_id", "_digest": "_d"})
-        keyed = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_d"))).withColumn("_own", F.col("doc_id"))
-        keyed = keyed.withColumn("doc_id", F.col("_row")).select("doc_id", "text", "_own", *more)
-        cuts = R.by_document(repeats(keyed.select("doc_id", "text").dropDuplicates(["doc_id"]), window), "cuts")
-        return R.with_lists(keyed, cuts, "left").select(F.col("_own").alias("doc_id"), "text", "cuts", *more)
-    return R.with_lists(texts, R.by_document(repeats(docs, window), "cuts"), "left").select("doc_id", "text", "cuts", *more)
+    keyed, each = R.keyed(docs, *more)
+    lists = R.by_document(repeats(each, window), "cuts", "first", "last")
+    return keyed.join(lists, F.col("doc_id") == F.col("_doc"), "left").select(F.col("_own").alias("doc_id"), "text", "cuts", *more)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

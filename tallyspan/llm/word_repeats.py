@@ -1,11 +1,13 @@
-"""Substring deduplication over words: seed on winnowed anchors, extend to whole windows, keep maximal repeats.
-
-Seeds are the winnowed k-grams of every document, joined by digest.  A seed
-that two texts share is extended both ways to every window of the threshold
-length that it anchors; windows that also start in a document with a smaller id
-are repeats, and repeats that touch join to maximal ones.  Extension compares
-windows by a pair of 64-bit digests and groups them, so a passage that n
-documents share costs n rows and never n * n pairs.
+"""Substring deduplication over words: seed on winnowed anchors, extend both ways, keep maximal repeats.
+
+Seeds are the winnowed k-grams of every document.  Documents that share a seed
+meet in a shard (see ``_repeats``), each with the words around it, and their
+matches are extended to the left and to the right, by halves of what a window
+holds beyond its seed.  Matches are held as groups of places that agree so far,
+never as pairs: each step splits a group by the words it reaches, and a place
+that agrees with no other any more drops out.  What has grown to the threshold
+is a repeat of the earliest document in its group; repeats that touch join to
+maximal ones.
 """
 
 from __future__ import annotations
@@ -20,73 +22,129 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from . import _repeats as R
-from ._base import buckets, stage, table
+from ._base import buckets, table
 
 WINDOW = 50
 #: Words in a seed: with windows of 50 words about every 21st word starts one.
 SEED = 10
+#: Bytes of word digests in a shard, 8 for each word around a seed.
+SHARD_BYTES = 2 << 20
 
+PIECES = "h bigint, part int, wide boolean, doc bigint, first int, at int, words binary"
 
-def _sequences(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, A.Rolling]]:
-    """The words of runs of documents: the first document, the offsets of each one's words, and their rolling digests."""
-    for first, _, data, offsets in A.pieces(texts):
+
+def _sequences(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The words of runs of documents: the first and last document, the offsets of each one's words, and the words' digests."""
+    for first, last, data, offsets in A.pieces(texts):
         starts, ends, of = A.words(data, offsets)
-        yield first, of, A.Rolling(A.of_bytes(data).spans(starts, ends))
+        yield first, last, of, A.of_bytes(data).spans(starts, ends)
 
 
 def seeds(window: int, seed: int):
     def produce(batch: pa.RecordBatch) -> Iterator[R.Rows]:
         docs = R.ids(batch.column(0))
-        for first, of, rolling in _sequences(batch.column(1)):
+        for first, _, of, digests in _sequences(batch.column(1)):
             if of[-1] < window:
                 continue
-            grams = rolling.grams(seed)
+            grams = A.Rolling(digests).grams(seed)
             doc, begin, last, anchor = A.winnow(grams, of, window, seed)
             if len(doc):
                 start = of[doc]
-                yield {"h": grams[anchor], "c": rolling.spans(begin, last + window) ^ A.mix((last - begin + 1).astype(np.uint64)), "doc": docs[first + doc], "first": begin - start, "last": last - start}
+                yield {"h": grams[anchor], "doc": docs[first + doc], "first": begin - start, "last": last - start, "at": anchor - start}
 
     return produce
 
 
-def extensions(window: int):
-    def produce(batch: pa.RecordBatch) -> Iterator[R.Rows]:
-        docs, (lists, begin, last, h) = R.ids(batch.column(0)), R.flat(batch.column(2))
-        for first, of, rolling in _sequences(batch.column(1)):
-            a, b = lists[first], lists[first + len(of) - 1]
-            if a == b:
-                continue
-            row = np.repeat(np.arange(first, first + len(of) - 1), np.diff(lists[first : first + len(of)]))
-            fits = last[a:b] + window <= (of[1:] - of[:-1])[row - first]  # an id may repeat with another text
-            row, low, high, key = row[fits], begin[a:b][fits], last[a:b][fits], h[a:b][fits]
-            n = high - low + 1
-            each = np.repeat(np.arange(len(n)), n)
-            start = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            at = of[row[each] - first] + start
-            yield {"h": rolling.spans(at, at + window), "c": key[each], "doc": docs[row[each]], "first": start, "last": start}
-
-    return produce
+def _around(window: int):
+    """The digests of the words around every listed seed of a document."""
 
-
-def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """doc_id, first, last: windows of ``window`` words, by first word, whose words also start in a document with a smaller id.
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = R.ids(batch.column(0))
+            lists, (first, last, at, h, part, wide) = R.flat(batch.column(2), "first", "last", "at", "h", "part", "wide")
+            for begin, end, of, digests in _sequences(batch.column(1)):
+                a, b = lists[begin], lists[end]
+                row = np.repeat(np.arange(end - begin), np.diff(lists[begin : end + 1]))
+                size = (last[a:b] - first[a:b] + window).astype(np.int64)
+                cuts = np.append(0, np.cumsum(size))
+                index = np.repeat(of[row] + first[a:b] - cuts[:-1], size) + np.arange(cuts[-1])
+                raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(digests[index])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[a:b]), pa.array(part[a:b]), pa.array(wide[a:b]), pa.array(docs[begin + row]), pa.array(first[a:b]), pa.array(at[a:b]), raw], names=["h", "part", "wide", "doc", "first", "at", "words"]
+                )
+
+    return cut
+
+
+def extended(words: np.ndarray, seat: np.ndarray, least: np.ndarray, most: np.ndarray, stay: np.ndarray, seed: int, rest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose match with others grows to a window: (place, words of the window left of the seed, key that equal windows share).
+
+    ``seat`` is where each place's seed begins in ``words``; a window holds
+    ``rest`` words besides, ``least`` to ``most`` of them on the left.  A match
+    that has ``low`` words on the left and ``rest - high`` on the right may
+    still become any window between; each step halves that range by extending
+    one way or the other.  A place whose match has no other drops out, unless
+    ``stay`` says that others stand elsewhere.
+    """
+    rolling = A.Rolling(words)
+    place = np.arange(len(seat))
+    low, high = np.zeros(len(seat), np.int64), np.full(len(seat), rest)
+    while True:
+        key = rolling.spans(seat[place] - low, seat[place] + seed + rest - high) ^ A.mix((low * (rest + 1) + high + 1).astype(np.uint64))
+        keep = (R.twins(key) | stay[place]) & (np.maximum(low, least[place]) <= np.minimum(high, most[place]))
+        place, low, high, key = place[keep], low[keep], high[keep], key[keep]
+        ranges = low < high
+        if not ranges.any():
+            return place, low, key
+        middle = (low + high) // 2
+        left = np.where(ranges, middle + 1, low)[ranges]
+        place, low, high = np.concatenate([place, place[ranges]]), np.concatenate([low, left]), np.concatenate([np.where(ranges, middle, high), high[ranges]])
+        fits = (low <= most[place]) & (high >= least[place])
+        place, low, high = place[fits], low[fits], high[fits]
+
+
+def extend_shard(window: int, seed: int):
+    """Of a shard's seeds: the windows that repeat one of an earlier document, and the firsts that still have to meet other shards'."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        raw = rows.column("words").chunk(0)
+        edges = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4).astype(np.int64)
+        words = np.frombuffer(raw.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(np.uint64)
+        edges = (edges - edges[0]) // 8
+        doc, first, at, h, part, wide = (rows.column(c).to_numpy() for c in ("doc", "first", "at", "h", "part", "wide"))
+        own = (at - first).astype(np.int64)
+        least = own - (np.diff(edges) - window)
+        place, left, key = extended(words, edges[:-1] + own, least, own, wide, seed, window - seed)
+        d, start = doc[place], at[place] - left
+        order = np.lexsort((d, key))
+        turn = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
+        earliest = np.empty(len(order), np.int64)
+        earliest[order] = d[order][turn][np.cumsum(turn) - 1] if len(order) else 0
+        gone = d > earliest
+        out = [R.found(*R.spans(d[gone], start[gone]))]
+        firsts = np.flatnonzero(~gone & wide[place])
+        if len(firsts):
+            of = place[firsts]
+            shard = (A.mix(h[of].view(np.uint64)) ^ part[of].astype(np.uint64)).view(np.int64)
+            out.append(R.found(d[firsts], start[firsts], start[firsts], shard, key[firsts] ^ A.mix(h[of].view(np.uint64))))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def repeats(texts: DataFrame, window: int = WINDOW, seed: int = SEED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc, first, last: windows of ``window`` words, by first word, whose words also start in a document with a smaller id.
 
     Windows first..last of a row all repeat.  Documents with fewer words than
-    the window, null and empty texts have no windows.  A null id precedes
-    every other (and comes back as the least integer).  Rows that repeat an id
-    count as one document: they never repeat one another.
+    the window, null and empty texts have no windows.  ``texts`` (doc_id, text)
+    has unique ids: ``_repeats.keyed`` gives rows numbers where they aren't.
     """
-    texts = R.text_of(docs)
-    n = buckets(texts, R.BUCKET_BYTES)
-    met = stage(R.meet(texts, seeds(window, seed), n, True), "repeat-seeds")
-    open_rows = R.by_document(met.where("contested"), "open")
-    narrowed = R.with_lists(texts, open_rows, "inner").select("doc_id", "text", "open")
-    grown = R.meet(narrowed, extensions(window), n, True)
-    keep = ["doc_id", "first", "last", "h"]
-    return met.where("not contested").select(*keep).unionByName(grown.where("not contested").select(*keep))
+    weight = 8 * (F.col("last") - F.col("first") + window)
+    return R.compare(texts, seeds(window, seed), _around(window), extend_shard(window, seed), buckets(texts, R.BUCKET_BYTES), weight, "words", PIECES, shard_bytes, True, "word")
 
 
-def kept_words(text: str | None, cuts: list, window: int) -> tuple[int, int, list[bytes]]:
+def kept_words(text: str | None, cuts: list | None, window: int) -> tuple[int, int, list[bytes]]:
     """The words of a text, how many of them the cut windows cover, and the rest."""
     every = (text or "").encode("utf-8").split()
     if not cuts:
@@ -105,11 +163,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     """doc_id, n_words, n_removed, text: every document with its repeated passages taken out, words joined by one space.
 
     One row for each input row.  A document without repeats keeps its words
-    too; null and empty texts become empty texts with no words.  Other columns
-    are left out.
+    too; null and empty texts become empty texts with no words.  Rows of equal
+    id and text are one document; other rows that share an id, or have none,
+    are documents of their own.  Other columns are left out.
     """
-    texts = R.text_of(docs)
-    joined = R.with_lists(texts, R.by_document(repeats(docs, window, seed), "cuts"), "left").select("doc_id", "text", "cuts")
+    keyed, each = R.keyed(docs)
+    lists = R.by_document(repeats(each, window, seed), "cuts", "first", "last")
+    joined = keyed.join(lists, F.col("doc_id") == F.col("_doc"), "left").select(F.col("_own").alias("doc_id"), "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
