@@ -29,12 +29,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """The bare upper-case base32 SHA-1 of a binary column: 4 letters for every 5 hex digits."""
-    hexed = F.sha1(payload)
-    number = lambda i: F.conv(F.substr(hexed, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-    letter = lambda i: F.substr(F.lit(ALPHABET), F.floor(number(i) / F.pow(F.lit(32.0), 3 - i % 4)).cast("int") % 32 + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+def base32_of(hexed: Column) -> Column:
+    """A SHA-1 in hex as bare upper-case base32: 4 letters for every 5 hex digits."""
+    number = lambda i: F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 10).cast("int")
+    letter = lambda i, j: F.substring(F.lit(ALPHABET), F.shiftright(number(i), 15 - 5 * j) % 32 + 1, F.lit(1))
+    return F.concat(*[letter(i, j) for i in range(8) for j in range(4)])
 
 
 def _urn(*parts: Column) -> Column:
@@ -67,16 +66,15 @@ def write_captures(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
         F.regexp_replace(F.regexp_replace(F.col("url").cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"),
         body.alias("html"),
         F.octet_length(body).cast("bigint").alias("n_bytes"),
-        base32_sha1(body.cast("binary")).alias("digest"),
+        F.xxhash64(body).alias("mark"),
     )
-    # Copies meet as digests, after map-side combining; only then does each page's html move, once, by its own id.
-    small = pages.select("page_id", "digest", "n_bytes")
+    # Every payload is digested once, and copies meet as digests; only then does each page's html move, once, by its own id.
+    # ``mark`` only tells apart rows that repeat an id.
+    hexed = stage(pages.select("page_id", "mark", "n_bytes", F.sha1(F.col("html").cast("binary")).alias("hexed")).distinct(), "warc-digests")
+    small = stage(hexed.select("page_id", "mark", "n_bytes", base32_of(F.col("hexed")).alias("digest")), "warc-letters")
     first = small.where(F.col("n_bytes") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    decided = small.join(first, "digest", "left").select("page_id", "digest", "first_id").distinct()
-    keyed = pages.join(
-        decided.withColumnsRenamed({"page_id": "_id", "digest": "_digest"}),
-        F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")),
-    )
+    decided = small.join(first, "digest", "left").select(F.col("page_id").alias("_id"), F.col("mark").alias("_mark"), "digest", "first_id")
+    keyed = pages.join(decided, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     original = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
     key = lambda page, kind: _urn(F.coalesce(page.cast("string"), F.lit("null")), F.col("digest"), F.lit(kind))
     main = key(F.col("page_id"), "response")
