@@ -105,39 +105,13 @@ def sign(width: int):
     return run
 
 
-MEMBERS = "key bigint, node bigint, n bigint"
+MEMBERS: R.Fields = (("key", np.uint64), ("node", np.int64), ("n", np.int64))
 
 
-def _deal(n_buckets: int):
-    """Band keys packed by bucket: one row per task and bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
-            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            n = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), BANDS)
-            bucket = (keys >> np.uint64(20)) % np.uint64(n_buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order].astype(np.int64)) != 0)), len(order))
-            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-            packed = [pa.array([v[order[a:b]].tobytes() for a, b in spans], pa.binary()) for v in (keys, node, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts[:-1]]].astype(np.int32)), *packed], names=["bucket", "key", "node", "n"])
-
-    return run
-
-
-def _meet(dealt: pa.Table) -> pa.Table:
-    """Members of the buckets that more than one document shares."""
-    key, node, n = (np.frombuffer(b"".join(dealt.column(c).to_pylist()), t) for c, t in (("key", np.uint64), ("node", np.int64), ("n", np.int64)))
-    order = np.argsort(key, kind="stable")
-    twin = np.zeros(len(order), bool)
-    same = key[order][1:] == key[order][:-1]
-    twin[1:] = same
-    twin[:-1] |= same
-    at = order[twin]
-    return pa.table([pa.array(key[at].view(np.int64)), pa.array(node[at]), pa.array(n[at])], names=["key", "node", "n"])
+def _banded(batch: pa.RecordBatch) -> Iterator[R.Rows]:
+    """A row for every band of every document; ``_repeats.repeated`` keeps those that share their bucket."""
+    keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+    yield {"key": keys, "node": np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS), "n": np.repeat(batch.column(1).to_numpy(zero_copy_only=False), BANDS)}
 
 
 def stars(members: DataFrame, percent: int) -> DataFrame:
@@ -152,7 +126,7 @@ def _sizes(x, y, percent: int):
 
 
 def _across(percent: int):
-    """An applyInArrow function over one bucket: for each member outside its largest component, the most similar signature of another."""
+    """An applyInArrow function over one bucket, or part of a large one: for each member outside its largest component, the most similar signature of another."""
     share = percent / 100
     floor = share - SLACK * float(np.sqrt(share * (1 - share) / (2 * PERMUTATIONS)))
 
@@ -175,8 +149,17 @@ def _across(percent: int):
     return run
 
 
-#: Documents in a block; a group of more is compared block by block.
-BLOCK = 2000
+#: Documents in a block, and bytes of their sets; a group of more is compared block by block.
+BLOCK, BLOCK_BYTES = 2000, 8 << 20
+
+
+def best_partners(open_rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs worth confirming between components that share a bucket; of a bucket with many members, within parts of it."""
+    heavy = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_parts")).where("_parts > 1")
+    heavy = stage(heavy.withColumnRenamed("key", "_key"), "heavy-buckets")
+    rows = open_rows.join(heavy, F.col("key") == F.col("_key"), "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("_parts", F.lit(1))))
+    rows = rows.join(sketches, F.col("node") == F.col("_n")).select("key", "part", "node", "n", "component", "sketch")
+    return rows.groupBy("key", "part").applyInArrow(_across(percent), "a bigint, b bigint").distinct()
 
 
 def _blocks(percent: int):
@@ -217,15 +200,16 @@ def _blocks(percent: int):
 def rest(open_rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """u, v: the links that remain between components of documents that share a bucket.
 
-    Documents whose buckets touch form a group; a group of more than ``block``
-    is dealt to pairs of blocks, so a task never holds more than two, and each
-    document's set goes to as many tasks as its group has blocks.
+    Documents whose buckets touch form a group; a group of more than ``block``,
+    or of more bytes than BLOCK_BYTES, is dealt to pairs of blocks, so a task
+    never holds more than two, and each document's set goes to as many tasks
+    as its group has blocks.
     """
     star = open_rows.groupBy("key").agg(F.min("node").alias("centre"))
     groups = components(open_rows.join(star, "key").select("centre", "node"))
     docs = open_rows.groupBy("node").agg(F.collect_list("key").alias("keys"), F.any_value("n").alias("n"), F.any_value("component").alias("component"))
     docs = docs.join(groups.withColumnsRenamed({"node": "_node", "component": "grp"}), F.col("node") == F.col("_node")).drop("_node")
-    sizes = docs.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    sizes = docs.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
     docs = docs.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     docs = docs.join(sets.withColumnsRenamed({"id": "_id"}), F.col("node") == F.col("_id")).drop("_id")
     dealt = docs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -284,35 +268,31 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Null, empty and wordless texts have no shingles and link with nothing.
     Rows that repeat an id with equal shingles count as one document, each with
     that group; with other shingles they are linked through the id they share.
-    A null id is treated as the least integer while grouping and comes back
-    null; its group is then named by that integer.
+    Rows with a null id link with nothing: their group is null and they are kept.
     """
-    texts = R.text_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(R.NULL_ID).cast("bigint")))
+    texts = R.text_of(docs)
     signed = stage(texts.mapInArrow(sign(width), SIGNED), "signatures")
-    full = signed.where("n_shingles > 0")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     classes = stage(classes, "shingle-classes")
-    nodes = classes.select("node", "n", "bands")
-    dealt = nodes.mapInArrow(_deal(buckets(texts, R.BUCKET_BYTES)), "bucket int, key binary, node binary, n binary")
-    members = stage(dealt.groupBy("bucket").applyInArrow(_meet, MEMBERS), "band-members")
+    members = stage(R.repeated(classes.select("node", "n", "bands"), _banded, MEMBERS, buckets(texts, R.BUCKET_BYTES)), "band-members")
 
     pairs = stage(stars(members, percent), "star-pairs")
     wanted = members.select(F.col("node").alias("_doc")).distinct()
     chosen = texts.join(wanted, F.col("doc_id") == F.col("_doc"), "left_semi").dropDuplicates(["doc_id"])
     sets = stage(chosen.mapInArrow(_sets(width), "id bigint, shingles binary"), "shingle-sets")
     links = stage(confirmed(pairs, sets, percent), "links")
-    open_rows = still_open(members, links)
-    sketches = classes.select(F.col("node").alias("_n"), "sketch")
-    best = open_rows.join(sketches, F.col("node") == F.col("_n")).drop("_n").groupBy("key").applyInArrow(_across(percent), "a bigint, b bigint")
-    links = links.unionByName(stage(confirmed(best.distinct(), sets, percent), "best-links"))
     open_rows = stage(still_open(members, links), "open-members")
-    links = links.unionByName(stage(rest(open_rows, sets, percent), "rest-links"))
+    if not open_rows.isEmpty():
+        best = best_partners(open_rows, classes.select(F.col("node").alias("_n"), "sketch"), percent)
+        links = links.unionByName(stage(confirmed(best, sets, percent), "best-links"))
+        open_rows = stage(still_open(members, links), "open-members")
+        links = links.unionByName(stage(rest(open_rows, sets, percent), "rest-links"))
     copies = full.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "node"), ["d1", "d2"]).where("doc_id <> node")
     parts = components(links.unionByName(copies.select(F.col("node").alias("u"), F.col("doc_id").alias("v")).distinct()))
     out = signed.select("doc_id", "n_shingles").join(parts, (F.col("doc_id") == F.col("node")) & (F.col("n_shingles") > 0), "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
-    null = F.col("doc_id") == F.lit(R.NULL_ID)
-    return out.select(F.when(~null, F.col("doc_id")).alias("doc_id"), "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
