@@ -64,7 +64,7 @@ def of_bytes(data: np.ndarray) -> Rolling:
     return Rolling(_BYTE[data])
 
 
-def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of documents as (first, last, bytes, offsets); null is empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -79,7 +79,7 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 

@@ -9,6 +9,7 @@ spans, and the language that holds most letters is the document's.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from ._base import pick, table
 
 #: Rows of each language that the model is fitted on, about; a documented bound, by hash of the id.
 SAMPLE_PER_LANGUAGE = 2000
-#: Languages learned: the most common labels.
-MAX_LANGUAGES = 200
+#: Labels that a model may have, a table of SLOTS numbers each on the driver; training on more is an error, so none is left out in silence.
+MAX_LANGUAGES = 1000
 GRAMS = (2, 3, 4, 5)
 SLOTS = 1 << 16
 #: Natural-log units that a change of language costs, and the most by which one word may speak against a language.
@@ -32,21 +33,54 @@ SWITCH, WORST = 12.0, 8.0
 TOGETHER = 8 << 20
 
 LETTERS = A.byte_set([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
-#: Scripts by the first byte of a character in UTF-8, as ranges of code points allow.  Fixed values.
-SCRIPTS = ("none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "kana", "han", "hangul", "other")
-_LEAD = np.zeros(256, np.uint8)
-_LEAD[0x41:0x5B] = _LEAD[0x61:0x7B] = 1
-_LEAD[0xC3:0xCA] = 1
-_LEAD[0xCD:0xD0] = 2
-_LEAD[0xD0:0xD4] = 3
-_LEAD[0xD4:0xD6] = 4
-_LEAD[0xD6:0xD8] = 5
-_LEAD[0xD8:0xDC] = 6
-_LEAD[0xE0] = 7
-_LEAD[0xE3] = 9
-_LEAD[0xE4:0xEA] = 10
-_LEAD[0xEA:0xEE] = 11
-_LEAD[0xF0:0xF5] = 12
+#: Scripts by ranges of code points (first, last), in the basic plane.  Fixed values.
+RANGES = {
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x2AF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "armenian": ((0x530, 0x58F),),
+    "hebrew": ((0x590, 0x5FF), (0xFB1D, 0xFB4F)),
+    "arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
+    "syriac": ((0x700, 0x74F),),
+    "thaana": ((0x780, 0x7BF),),
+    "devanagari": ((0x900, 0x97F), (0xA8E0, 0xA8FF)),
+    "bengali": ((0x980, 0x9FF),),
+    "gurmukhi": ((0xA00, 0xA7F),),
+    "gujarati": ((0xA80, 0xAFF),),
+    "oriya": ((0xB00, 0xB7F),),
+    "tamil": ((0xB80, 0xBFF),),
+    "telugu": ((0xC00, 0xC7F),),
+    "kannada": ((0xC80, 0xCFF),),
+    "malayalam": ((0xD00, 0xD7F),),
+    "sinhala": ((0xD80, 0xDFF),),
+    "thai": ((0xE00, 0xE7F),),
+    "lao": ((0xE80, 0xEFF),),
+    "tibetan": ((0xF00, 0xFFF),),
+    "myanmar": ((0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)),
+    "georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    "ethiopic": ((0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)),
+    "cherokee": ((0x13A0, 0x13FF), (0xAB70, 0xABBF)),
+    "khmer": ((0x1780, 0x17FF),),
+    "mongolian": ((0x1800, 0x18AF),),
+    "hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)),
+    "kana": ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)),
+    "han": ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)),
+}
+#: What is no letter has the script ``none``; letters in no range above have ``other``.
+SCRIPTS = ("none", *RANGES, "other")
+
+
+def _script_table() -> np.ndarray:
+    """The script of every code point of the basic plane."""
+    letter = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(1 << 16)])
+    out = np.where(letter, len(SCRIPTS) - 1, 0).astype(np.uint8)
+    for i, name in enumerate(RANGES, 1):
+        for first, last in RANGES[name]:
+            out[first : last + 1] = np.where(letter[first : last + 1], i, 0)
+    return out
+
+
+_SCRIPT = _script_table()
 
 
 def _word_texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +106,27 @@ def _slots(text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield (rolling.grams(n)[fits] & np.uint64(SLOTS - 1)).astype(np.int32), word[fits]
 
 
+def code_points(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each character of valid UTF-8 begins, and its code point."""
+    begins = np.flatnonzero((text & 0xC0) != 0x80)
+    first = text[begins].astype(np.int32)
+    padded = np.append(text, np.zeros(3, np.uint8))
+    tail = lambda k: padded[begins + k].astype(np.int32) & 0x3F
+    two = ((first & 0x1F) << 6) | tail(1)
+    three = ((first & 0x0F) << 12) | (tail(1) << 6) | tail(2)
+    four = ((first & 0x07) << 18) | (tail(1) << 12) | (tail(2) << 6) | tail(3)
+    return begins, np.select([first < 0x80, first < 0xE0, first < 0xF0], [first, two, three], four)
+
+
 def script_of(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The script of each word: the highest that its characters' first bytes name."""
+    """The script of each word: of its characters' scripts, the last in SCRIPTS."""
     if len(offsets) == 1:
         return np.empty(0, np.uint8)
-    return np.maximum.reduceat(_LEAD[text], offsets[:-1])
+    begins, code = code_points(text)
+    held = np.zeros(len(text), np.uint8)
+    wide = np.where((code >= 0x20000) & (code < 0x40000), SCRIPTS.index("han"), len(SCRIPTS) - 1)
+    held[begins] = np.where(code < 1 << 16, _SCRIPT[np.minimum(code, 0xFFFF)], wide)
+    return np.maximum.reduceat(held, offsets[:-1])
 
 
 def _unique_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -96,19 +146,23 @@ class Model:
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         self.uses = (share >= 0.01).T if languages else np.zeros((len(SCRIPTS), 0), bool)
 
-    def scores(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """One row per word: how far each language lies below the best, at most WORST; zeros where no language uses the script."""
+    def scores(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One row per word: how far each language lies below the best, at most WORST; zeros where no language uses the script.
+
+        And whether the word has letters, and whether some language uses its script.
+        """
         out = np.zeros((len(offsets) - 1, len(self.languages)), np.float32)
         for slots, word in _slots(text, offsets):
             order = np.searchsorted(word, np.arange(len(offsets)))
             for j in range(len(self.languages)):
                 sums = np.append(np.float64(0), np.cumsum(self.log_p[slots, j], dtype=np.float64))
                 out[:, j] += (sums[order[1:]] - sums[order[:-1]]).astype(np.float32)
-        allowed = self.uses[script_of(text, offsets)]
+        script = script_of(text, offsets)
+        allowed = self.uses[script]
         known = allowed.any(axis=1)
         out = np.where(allowed, out, -np.inf)
         out[~known] = 0
-        return np.maximum(out - out.max(axis=1, keepdims=True, initial=-np.inf), -WORST)
+        return np.maximum(out - out.max(axis=1, keepdims=True, initial=-np.inf), -WORST), script > 0, known
 
 
 def _counts(index: dict[str, int]):
@@ -139,14 +193,16 @@ def _summed(rows: pa.Table) -> pa.Table:
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Fit on documents with a language and a text, about ``per_language`` of each of the most common languages.
+    """Fit on documents with a language and a text, about ``per_language`` of each language.
 
-    Rows are chosen by hash of their id, so the same table gives the same
+    More than ``max_languages`` labels are an error.  Rows are chosen by hash of their id, so the same table gives the same
     model; a table with fewer rows of a language gives all.  A table without
     labelled text gives a model without languages.
     """
     docs = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()  # at most max_languages rows
+    sizes = docs.groupBy("lang").count().limit(max_languages + 1).collect()  # bounded
+    if len(sizes) > max_languages:
+        raise ValueError(f"there are more than {max_languages} languages; raise max_languages, at {4 * SLOTS} bytes of memory each")
     if not sizes:
         return Model([], np.zeros((0, SLOTS)), np.zeros((0, len(SCRIPTS))))
     index = {r["lang"]: i for i, r in enumerate(sorted(sizes, key=lambda r: r["lang"]))}
@@ -203,20 +259,23 @@ LABELLED = "doc_id bigint, lang_pred string, score double, spans array<struct<fi
 def _label(held, with_spans: bool, switch: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
+        share = max(1, len(model.languages) // 4)  # a word's scores take four bytes for each language
         for batch in batches:
             lettered = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             parts: list[tuple] = []
             size, begun = 0, 0
-            for first, last, data, offsets in A.pieces(pc.utf8_lower(batch.column(1))):
+            for first, last, data, offsets in A.pieces(pc.utf8_lower(batch.column(1)), A.PIECE // share):
                 starts, ends, of = A.words(data, offsets, LETTERS)
+                weight = ends - starts
                 if len(starts) and model.languages:
                     text, cut, inverse = _unique_words(data, starts, ends)
-                    scores = model.scores(text, cut)[inverse]
+                    scores, counts, known = (x[inverse] for x in model.scores(text, cut))
+                    weight = weight * counts
                 else:
-                    scores = np.zeros((len(starts), max(1, len(model.languages))), np.float32)
-                parts.append((scores, of, ends - starts))
+                    scores, known = np.zeros((len(starts), max(1, len(model.languages))), np.float32), np.zeros(len(starts), bool)
+                parts.append((scores, of, weight, known))
                 size += len(data)
-                if size >= TOGETHER or last == len(batch):
+                if size >= TOGETHER // share or last == len(batch):
                     yield _rows(model, batch.column(0).slice(begun, last - begun), lettered[begun:last], parts, with_spans, switch)
                     parts, size, begun = [], 0, last
 
@@ -226,14 +285,14 @@ def _label(held, with_spans: bool, switch: float):
 def _rows(model: Model, ids: pa.Array, lettered: np.ndarray, parts: list[tuple], with_spans: bool, switch: float) -> pa.RecordBatch:
     shift = np.cumsum([0, *[len(p[0]) for p in parts]])
     offsets = np.concatenate([p[1][:-1] + s for p, s in zip(parts, shift, strict=False)] + [shift[-1:]])
-    scores, weight = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    scores, weight, known = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
     path = best_paths(scores, offsets, switch)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     width = scores.shape[1]
-    held = np.bincount(doc * width + path, weights=weight, minlength=(len(offsets) - 1) * width).reshape(-1, width)
-    whole = held.sum(axis=1)
+    held = np.bincount(doc * width + path, weights=weight * known, minlength=(len(offsets) - 1) * width).reshape(-1, width)
+    whole = np.bincount(doc, weights=weight, minlength=len(offsets) - 1)
     best = held.argmax(axis=1)
-    sure = lettered & (whole > 0) & bool(model.languages)
+    sure = lettered & bool(model.languages)
     names = [model.languages[b] if s else "und" for b, s in zip(best, sure, strict=True)]
     score = np.where(sure, held.max(axis=1) / np.maximum(whole, 1), 0.0)
     spans: list[list[dict]] = [[] for _ in names]
@@ -250,7 +309,8 @@ def label(docs: DataFrame, model: Model, with_spans: bool = True, switch: float
     """doc_id, lang_pred, score, spans: the language of every whole text and its spans of words by language.
 
     ``score`` is the share of letters that the path gives to ``lang_pred``, the
-    first by name where shares tie.  Words are runs of letters, counted from 0
+    first by name where shares tie; letters in a script that no learned
+    language uses count for none, so a text of them alone scores 0.  Words are runs of letters, counted from 0
     in spans.  A null or empty text, one without letters, and any text under a
     model without languages is ``und`` with score 0 and no spans.  Rows that
     repeat are judged alike; other columns are left out and never looked at.
@@ -291,7 +351,8 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id is never learned from, so it counts as held out."""
     docs = table(spark, sf_dir, "documents")
     model = train(pick(docs, "doc_id", "text", "lang").where(remainder(5) != 0))
     found = label(docs, model, with_spans=False)
-    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
