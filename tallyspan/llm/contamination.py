@@ -5,7 +5,7 @@ text order each window's terms by rarity; the index stores the postings (term,
 document, position) of the two rarest terms of every window.  Lookup starts from
 the rarest term's list, intersects it with the second's, shifted by the distance
 between the two, and compares what is left with the whole phrase.  Proximity
-matches allow that distance to differ.
+matches allow that distance to differ by a few words.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ._base import pick, stage, table
 
 WINDOW = 10
+#: Words by which a proximity match's distance may differ from the item's.
+SLOP = 3
 #: Words are runs of ASCII digits and lower-case letters and of anything beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,11 +42,11 @@ def phrases(items: DataFrame) -> DataFrame:
     """item, name, phrase: the words of every benchmark item that has any.
 
     ``item`` is a key of id and words: rows that repeat both count once, other
-    texts of the same id apart.  ``name`` is the id as a string.
+    texts of the same id apart.  ``name`` is the id as a string, ``null`` for none.
     """
     items = pick(items, "item_id", "text")
-    held = items.select(F.col("item_id").cast("string").alias("name"), words(F.col("text")).alias("phrase")).where(F.size("phrase") > 0)
-    return held.select(F.concat_ws("#", F.coalesce("name", F.lit("")), F.xxhash64("phrase").cast("string")).alias("item"), "name", "phrase").distinct()
+    held = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), words(F.col("text")).alias("phrase")).where(F.size("phrase") > 0)
+    return held.select(F.concat_ws("#", "name", F.xxhash64("phrase").cast("string")).alias("item"), "name", "phrase").distinct()
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -87,11 +89,10 @@ def alignments(index: DataFrame, asked: DataFrame) -> DataFrame:
     return alone.unionByName(met.select("item", "doc", "shift")).distinct()
 
 
-def _hits(text_words: Column, found: Column, window: int) -> Column:
+def _hits(text_words: Column, phrase: Column, shift: Column, window: int) -> Column:
     """The word positions that whole windows of one aligned phrase cover."""
-    size = F.least(F.lit(window), F.size(found["phrase"]))
-    at = lambda j: F.get(text_words, found["shift"] + j)
-    same = F.transform(found["phrase"], lambda w, j: F.coalesce((found["shift"] + j >= 0) & (at(j) == w), F.lit(False)))
+    size = F.least(F.lit(window), F.size(phrase))
+    same = F.transform(phrase, lambda w, j: F.coalesce((shift + j >= 0) & (F.get(text_words, shift + j) == w), F.lit(False)))
     # Each step adds one word to the run of equal words; a run as long as a window covers its last `size` words.
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("j"), F.array().cast("array<int>").alias("ends"))
 
@@ -101,66 +102,90 @@ def _hits(text_words: Column, found: Column, window: int) -> Column:
         return F.struct(run.alias("run"), (held["j"] + 1).alias("j"), ends.alias("ends"))
 
     ends = F.aggregate(same, start, step, lambda held: held["ends"])
-    return F.flatten(F.transform(ends, lambda e: F.sequence((found["shift"] + e - size + 1).cast("int"), (found["shift"] + e).cast("int"))))
+    return F.flatten(F.transform(ends, lambda e: F.sequence((shift + e - size + 1).cast("int"), (shift + e).cast("int"))))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc, mark, hits, items: documents in which whole windows of items occur, the word positions hit, and the items.
-
-    ``mark`` tells apart rows that repeat an id with other texts; rows that
-    repeat both give one row.  An item shorter than the window is one window;
-    items without words, null or empty, match nothing.
-    """
-    docs, held = _documents(docs), stage(phrases(items), "phrases")
-    vocabulary = held.select(F.explode("phrase").alias("term")).distinct()
-    counts = stage(term_counts(docs, vocabulary), "term-counts")
+def indexed(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The phrases of ``items``, the lookups of their windows, and the index of the terms that these ask for."""
+    held = stage(phrases(items), "phrases")
+    counts = stage(term_counts(docs, held.select(F.explode("phrase").alias("term")).distinct()), "term-counts")
     asked = stage(lookups(held, counts, window), "lookups")
     terms = asked.select(F.col("rare").alias("term")).unionByName(asked.where("next is not null").select(F.col("next").alias("term"))).distinct()
-    aligned = stage(alignments(build_index(docs, terms), asked), "alignments")
-    whole = aligned.join(held, "item").select("doc", F.struct("name", "shift", "phrase").alias("found"))
+    return held, asked, build_index(docs, terms)
+
+
+def exact(docs: DataFrame, held: DataFrame, asked: DataFrame, index: DataFrame, window: int) -> DataFrame:
+    """doc, mark, hits, items, as ``contaminated`` returns them."""
+    aligned = alignments(index, asked).groupBy("doc", "item").agg(F.collect_list("shift").alias("shifts"))
+    whole = aligned.join(held, "item").select("doc", F.struct("name", "phrase", "shifts").alias("found"))
     # A document's alignments are bounded by its own words and the items; the text joins once, for documents that have any.
-    lists = whole.groupBy("doc").agg(F.collect_list("found").alias("found")).withColumnRenamed("doc", "_doc")
+    lists = stage(whole.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("found").alias("found")), "alignments")
     joined = docs.join(lists, F.col("doc") == F.col("_doc")).select("doc", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("ws"), "found")
-    each = F.transform("found", lambda f: F.struct(f["name"].alias("name"), _hits(F.col("ws"), f, window).alias("hits")))
+    joined = stage(joined, "aligned-words")  # else a text would be split anew for every word that is compared
+    of = lambda f: F.flatten(F.transform(f["shifts"], lambda s: _hits(F.col("ws"), f["phrase"], s, window)))
+    each = F.transform("found", lambda f: F.struct(f["name"].alias("name"), of(f).alias("hits")))
     judged = joined.select("doc", "mark", F.filter(each, lambda f: F.size(f["hits"]) > 0).alias("found")).where(F.size("found") > 0)
-    return judged.select("doc", "mark", F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda f: f["hits"])))).alias("hits"), F.array_sort(F.array_distinct(F.transform("found", lambda f: f["name"]))).alias("items")).distinct()
+    judged = judged.select("doc", "mark", F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda f: f["hits"])))).alias("hits"), F.array_sort(F.array_distinct(F.transform("found", lambda f: f["name"]))).alias("items"))
+    return judged.distinct()
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, window: int = WINDOW) -> DataFrame:
-    """doc_id, item_id, pos, gap: where a window's two rarest terms stand within ``slop`` words of their distance in the item.
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc, mark, hits, items: documents in which whole windows of items occur, the word positions hit, and the items.
 
-    ``pos`` is the rarest term's position and ``gap`` the difference from the
-    item's distance, 0 for a candidate of an exact match.  Positions meet in
-    blocks of slop + 1 words, so a frequent term costs no pairs beyond its
-    neighbourhood.  Windows of one word have no pair.
+    ``mark`` tells apart rows that repeat an id with other texts; rows that
+    repeat both give one row.  An item shorter than the window is one window;
+    items without words, null or empty, match nothing.
     """
-    docs, held = _documents(docs), stage(phrases(items), "phrases")
-    vocabulary = held.select(F.explode("phrase").alias("term")).distinct()
-    counts = stage(term_counts(docs, vocabulary), "term-counts")
-    asked = stage(lookups(held, counts, window).where("next is not null"), "lookups")
-    terms = asked.select(F.col("rare").alias("term")).unionByName(asked.select(F.col("next").alias("term"))).distinct()
-    index = build_index(docs, terms)
+    docs = _documents(docs)
+    return exact(docs, *indexed(docs, items, window), window)
+
+
+def near(held: DataFrame, asked: DataFrame, index: DataFrame, slop: int) -> DataFrame:
+    """doc, name, pos, gap, as ``proximity_matches`` describes them."""
     block = lambda c: F.floor(c / F.lit(slop + 1)).cast("bigint")
+    asked = asked.where("next is not null")
     first = asked.join(index, asked["rare"] == index["term"]).select("item", "doc", "pos", (F.col("pos") - F.col("at") + F.col("next_at")).alias("want"), "next")
     first = first.withColumn("block", F.explode(F.array(*[block(F.col("want")) + d for d in (-1, 0, 1)])))
     other = index.select(F.col("term").alias("_term"), F.col("doc").alias("_doc"), F.col("pos").alias("_pos"), block(F.col("pos")).alias("_block"))
     met = first.join(other, (F.col("doc") == F.col("_doc")) & (F.col("block") == F.col("_block")) & (F.col("next") == F.col("_term")))
     gap = F.col("_pos") - F.col("want")
-    near = met.where((F.abs(gap) <= slop) & (F.col("_pos") != F.col("pos"))).select("item", "doc", "pos", gap.alias("gap"))
-    named = near.join(held.select("item", "name"), "item")
-    return named.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), F.col("name").alias("item_id"), "pos", "gap").distinct()
+    close = met.where((F.abs(gap) <= slop) & (F.col("_pos") != F.col("pos"))).select("item", "doc", "pos", gap.alias("gap"))
+    return close.join(held.select("item", "name"), "item").select("doc", "name", "pos", "gap").distinct()
+
+
+def _own(doc: Column) -> Column:
+    return F.when(doc != _NULL, doc)
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = SLOP, window: int = WINDOW) -> DataFrame:
+    """doc_id, item_id, pos, gap: where a window's two rarest terms stand within ``slop`` words of their distance in the item.
+
+    ``pos`` is the rarest term's position and ``gap`` the difference from the
+    item's distance, 0 for a candidate of an exact match.  Positions meet in
+    blocks of slop + 1 words, so a frequent term costs no pairs beyond its
+    neighbourhood.  Windows of one word have no pair.  Rows that share an id,
+    or have none, count as one document.
+    """
+    docs = _documents(docs)
+    found = near(*indexed(docs, items, window), slop)
+    return found.select(_own(F.col("doc")).alias("doc_id"), F.col("name").alias("item_id"), "pos", "gap")
 
 
-def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, hits, items: every document with the positions of its words inside occurring windows, and the items.
+def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """doc_id, n_words, hits, items, n_near: every document with the positions of its words inside occurring windows, the items, and its proximity matches.
 
-    One row for each input row; null, empty and wordless texts have no words
-    and no hits.  Other columns are left out.
+    ``n_near`` counts matches at another distance than the item's (see
+    ``proximity_matches``).  One row for each input row; null, empty and
+    wordless texts have no words and no hits.  Other columns are left out.
     """
-    found = contaminated(docs, items, window).withColumnsRenamed({"doc": "_doc", "mark": "_mark"})
-    every = _documents(docs).select("doc", F.xxhash64("text").alias("mark"), F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
-    out = every.join(found, (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
-    return out.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    docs = _documents(docs)
+    held, asked, index = indexed(docs, items, window)
+    found = exact(docs, held, asked, index, window).withColumnsRenamed({"doc": "_doc", "mark": "_mark"})
+    close = near(held, asked, index, slop).where("gap <> 0").groupBy(F.col("doc").alias("_near")).agg(F.count(F.lit(1)).alias("n_near"))
+    every = docs.select("doc", F.xxhash64("text").alias("mark"), F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
+    out = every.join(found, (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left").join(close, F.col("doc") == F.col("_near"), "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return out.select(_own(F.col("doc")).alias("doc_id"), "n_words", none("hits", "int"), none("items", "string"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -174,7 +199,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit, n_items = F.size("hits").cast("bigint"), F.size("items").cast("bigint")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "n_near")
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -182,7 +207,7 @@ SQL = f"""
 WITH d AS (
   SELECT doc_id, {_SQL_WORDS} AS ws FROM documents
 ), b AS (
-  SELECT item_id::VARCHAR AS item_id, {_SQL_WORDS} AS ws FROM benchmark
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item_id, {_SQL_WORDS} AS ws FROM benchmark
 ), bw AS (
   SELECT item_id, least(len(ws), {WINDOW}) AS n, array_to_string(ws[s:s + least(len(ws), {WINDOW}) - 1], ' ') AS w
   FROM (SELECT *, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) AS s FROM b WHERE len(ws) > 0)
@@ -197,8 +222,27 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+), tokens AS (
+  SELECT doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS pos FROM d
+), places AS (
+  SELECT item_id, ws, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS place FROM (SELECT DISTINCT item_id, ws FROM b WHERE len(ws) > 0)
+), counts AS (
+  SELECT term, count(*) AS n FROM tokens WHERE term IN (SELECT term FROM places) GROUP BY term
+), ranked AS (
+  SELECT item_id, ws, s, p.term, place, row_number() OVER (PARTITION BY item_id, ws, s ORDER BY coalesce(n, 0), p.term, place) AS r
+  FROM (SELECT *, unnest(range(greatest(0, place - {WINDOW - 1}), least(place, greatest(len(ws) - {WINDOW}, 0)) + 1)) AS s FROM places) p
+  LEFT JOIN counts USING (term)
+), asked AS (
+  SELECT DISTINCT x.item_id, x.ws, x.term AS rare, x.place AS rare_at, y.term AS next, y.place AS next_at
+  FROM ranked x JOIN ranked y ON x.item_id = y.item_id AND x.ws = y.ws AND x.s = y.s AND x.r = 1 AND y.r = 2
+), near AS (
+  SELECT DISTINCT x.doc_id, item_id, x.pos, y.pos - (x.pos - rare_at + next_at) AS gap
+  FROM asked JOIN tokens x ON x.term = rare JOIN tokens y ON y.doc_id = x.doc_id AND y.term = next AND y.pos <> x.pos
+  WHERE abs(y.pos - (x.pos - rare_at + next_at)) <= {SLOP} AND y.pos <> x.pos - rare_at + next_at
+), close AS (
+  SELECT doc_id, count(*) AS n_near FROM near GROUP BY doc_id
 )
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN close USING (doc_id)
 """
