@@ -18,13 +18,15 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     doubling ``reach``.
     """
     n = len(data)
-    left = ends - np.arange(n)
-    padded = np.append(data, np.zeros(FIRST, np.uint8)).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for j in range(FIRST):
-        key = (key << np.uint64(8)) | np.where(left > j, padded[j : j + n], np.uint64(0))
-    del padded
-    key = (key << np.uint64(8)) | np.minimum(left, FIRST + 1).astype(np.uint64)
+    left = (ends - np.arange(n)).astype(np.int32)
+    two = np.append(data, np.zeros(FIRST + 1, np.uint8)).astype(np.uint64)
+    two = (two[:-1] << np.uint64(8)) | two[1:]
+    four = (two[:-2] << np.uint64(16)) | two[2:]
+    key = (four[:n] << np.uint64(32)) | (four[4 : n + 4] & np.uint64(0xFFFFFF00))
+    del two, four
+    tail = np.flatnonzero(left < FIRST)
+    key[tail] &= ~((np.uint64(1) << (np.uint64(64) - np.uint64(8) * left[tail].astype(np.uint64))) - np.uint64(1))
+    key |= np.minimum(left, FIRST + 1).astype(np.uint64)
 
     def in_place(these: np.ndarray, by: np.ndarray, done: np.ndarray) -> None:
         """Of suffixes that are equal as wholes, the earlier position first."""
@@ -38,7 +40,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     new = np.ones(n + 1, bool)
     new[1:n] = (k[1:] != k[:-1]) | short[1:]
     del k, short
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
 
     def number(at: np.ndarray, fresh: np.ndarray) -> None:
         """Give the suffixes at these indices the last index of their group; ``fresh`` marks first members and the end."""
@@ -50,10 +52,15 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     reach = FIRST
     while len(open_at):
         these = order[open_at]
-        further = np.where(left[these] > reach, rank[np.minimum(these + reach, n - 1)], -1)
-        both = rank[these].astype(np.uint64) * np.uint64(n + 1) + (further + 1).astype(np.uint64)
+        further = rank[np.minimum(these + reach, n - 1)]
+        further += 1
+        further[left[these] <= reach] = 0
+        both = rank[these].astype(np.uint64)
+        both <<= np.uint64(32)
+        both |= further.astype(np.uint64)
         by = np.argsort(both)
-        these, both, done = these[by], both[by], further[by] == -1
+        these, both = these[by], both[by]
+        done = (both & np.uint64(0xFFFFFFFF)) == 0
         in_place(these, both, done)
         order[open_at] = these
         fresh = np.ones(len(these) + 1, bool)

@@ -77,6 +77,9 @@ def sort_shard(window: int):
         edges -= edges[0]
         piece = np.repeat(np.arange(len(raw)), np.diff(edges))
         at, group = equal_windows(data, edges[1:][piece], window)
+        wide = rows.column("wide").to_numpy()
+        meets = (np.bincount(group)[group] > 1) | wide[piece[at]]
+        at, group = at[meets], group[meets]
         of = piece[at]
         doc = rows.column("doc").to_numpy()[of]
         start = at + (rows.column("first").to_numpy() - edges[:-1])[of]
@@ -84,7 +87,7 @@ def sort_shard(window: int):
         new = np.append(True, group[order][1:] != group[order][:-1])[: len(order)]
         firsts, rest = order[new], order[~new]
         out = [R.found(*R.spans(doc[rest], start[rest]))]
-        firsts = firsts[rows.column("wide").to_numpy()[of[firsts]]]
+        firsts = firsts[wide[of[firsts]]]
         if len(firsts):
             h, part = rows.column("h").to_numpy().view(np.uint64)[of[firsts]], rows.column("part").to_numpy()[of[firsts]]
             digest = A.of_bytes(data).spans(at[firsts], at[firsts] + window) ^ A.mix(h)
