@@ -27,7 +27,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
+DAMPING, ROUNDS, TOLERANCE = 0.85, 60, 1e-6
 #: The share of a host's trust and distrust that distrust must exceed.
 BLOCK_OVER = 0.5
 
@@ -77,21 +77,25 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """host, score: personalised PageRank of ``seeds`` (host, seed) along ``edges`` (src, dst, w).
+    """host, score: personalised PageRank of ``seeds`` (host, seed) along ``edges`` (src, dst, w); scores sum to the seeds.
 
-    A host passes ``damping`` of its score on, divided by weight; mass at a host
-    without links ends there.  Stops when the scores change by less than
-    ``tolerance`` of the seeds' mass in all, or after ``rounds``.
+    A host passes ``damping`` of its score on, divided by weight.  The rest,
+    and all that hosts without links hold, returns to the seeds.  Stops when
+    the scores change by less than ``tolerance`` of their sum, or after
+    ``rounds``.
     """
     out = edges.groupBy("src").agg(F.sum("w").alias("all"))
     steps = stage(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("part")), "link-steps")
-    seeds = stage(seeds.where("seed > 0").select("host", ((1 - damping) * F.col("seed")).alias("seed")), "link-seeds")
-    mass = seeds.agg(F.sum("seed")).first()[0] or 0.0  # one number
-    scores, last = stage(seeds.select("host", F.col("seed").alias("score")), "link-scores"), None
-    for _ in range(rounds):
+    sources = stage(steps.select(F.col("src").alias("host")).distinct(), "link-sources")
+    seeds = stage(seeds.where("seed > 0").select("host", F.col("seed").alias("score")), "link-seeds")
+    mass = seeds.agg(F.sum("score")).first()[0] or 0.0  # one number
+    scores, last = stage(seeds, "link-scores"), None
+    for _ in range(rounds if mass else 0):
+        held = scores.join(sources, "host", "left_semi").agg(F.sum("score")).first()[0] or 0.0  # one number
         # Sums combine before the shuffle, so a host that all others link to gets one row from each task.
         sent = scores.join(steps, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
-        fresh = sent.unionByName(seeds.select("host", F.col("seed").alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
+        back = seeds.select("host", (F.col("score") * F.lit(1 - damping * held / mass)).alias("score"))
+        fresh = sent.unionByName(back).groupBy("host").agg(F.sum("score").alias("score"))
         last, scores = scores, stage(fresh, "link-scores")
         change = scores.unionByName(last.select("host", (-F.col("score")).alias("score"))).groupBy("host").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).first()[0]
         drop(last)
