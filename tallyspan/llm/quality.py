@@ -2,9 +2,9 @@
 
 Statistics of every text are computed inside its row.  Base rules reject on
 fixed limits.  The rest are compared with their own language and source: a
-minimum-covariance-determinant estimate of the transformed statistics, refined
-by concentration steps, gives each group a centre and a covariance that
-outliers can't move; a document too far from the centre, by Mahalanobis
+minimum-covariance-determinant estimate of the transformed statistics, the best
+of several starts refined by concentration steps, gives each group a centre and
+a covariance that outliers can't move; a document too far from the centre, by Mahalanobis
 distance, is rejected.
 
 Quantiles come from counts over fine bins, so every aggregate combines before
@@ -29,6 +29,8 @@ FLOORS = {"x0": 0.35, "x1": 0.05, "x2": 0.12, "x3": 0.08}
 DIMS = len(FLOORS)
 #: The share of a group that an estimate covers, concentration steps, and how many documents its language's estimate weighs in a group's own.
 COVER, STEPS, PRIOR = 0.75, 4, 25
+#: Starts of an estimate, and of how many rows one goes into a drawn start.
+STARTS, PART = 4, 5
 #: Probability, if a group were normal, that a document of it is rejected.
 ALPHA = 1e-7
 BINS = 1000
@@ -137,11 +139,6 @@ def _distance() -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [y * y for y in solved]))
 
 
-def _diagonal(spread: list[Column]) -> list[tuple[str, Column]]:
-    cov = {(i, j): (spread[i] * spread[i] if i == j else F.lit(0.0)) for i in range(DIMS) for j in range(i + 1)}
-    return _cholesky(cov)
-
-
 def _with(df: DataFrame, named: list[tuple[str, Column]]) -> DataFrame:
     for name, value in named:
         df = df.withColumn(name, value)
@@ -149,31 +146,63 @@ def _with(df: DataFrame, named: list[tuple[str, Column]]) -> DataFrame:
 
 
 _MODEL = ["key", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)]]
+_TRIED = ["key", "start", *_MODEL[1:]]
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """key, centre m0.. and Cholesky factor l00.. of the robust covariance of x0.. in each group of ``rows`` (key, x0, ...).
-
-    Starts from medians and median deviations; each concentration step takes
-    the COVER share of a group that lies nearest and estimates anew.  Floors
-    add to the variances, so constant statistics don't make a covariance singular.
-    """
+def _spread_start(rows: DataFrame) -> DataFrame:
+    """The first start: medians, and median deviations without covariances."""
     floors = list(FLOORS.values())
     centre = _medians(rows, [F.col(f"x{i}") for i in range(DIMS)])
     off = rows.join(centre, "key").select("key", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"d{i}") for i in range(DIMS)])
     spread = _medians(off, [F.col(f"d{i}") for i in range(DIMS)]).withColumnsRenamed({f"m{i}": f"s{i}" for i in range(DIMS)})
-    model = _with(centre.join(spread, "key"), _diagonal([F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), F.lit(2.0)) + floors[i] ** 2) for i in range(DIMS)]))
-    model = stage(model.select(*_MODEL), "mcd")
+    cov = {(i, j): (F.pow(1.4826 * F.col(f"s{i}"), F.lit(2.0)) + floors[i] ** 2 if i == j else F.lit(0.0)) for i in range(DIMS) for j in range(i + 1)}
+    return _with(centre.join(spread, "key").withColumn("start", F.lit(0)), _cholesky(cov)).select(*_TRIED)
+
+
+def _moments(rows: DataFrame, factor: float) -> DataFrame:
+    """The centre and regular covariance of each (key, start) of ``rows``, which holds places o0.. near each group to measure from."""
+    floors = list(FLOORS.values())
+    shifted = [F.col(f"x{i}") - F.col(f"o{i}") for i in range(DIMS)]
+    sums = [F.avg(shifted[i]).alias(f"a{i}") for i in range(DIMS)] + [F.avg(shifted[i] * shifted[j]).alias(f"b{i}{j}") for i in range(DIMS) for j in range(i + 1)]
+    moments = rows.groupBy("key", "start").agg(*sums, *[F.max(f"o{i}").alias(f"o{i}") for i in range(DIMS)])
+    cov = {(i, j): factor * (F.col(f"b{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + (floors[i] ** 2 if i == j else 0.0) for i in range(DIMS) for j in range(i + 1)}
+    return _with(_with(moments, [(f"m{i}", F.col(f"o{i}") + F.col(f"a{i}")) for i in range(DIMS)]), _cholesky(cov)).select(*_TRIED)
+
+
+def _drawn(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The other starts: moments of the whole group, and of parts of it drawn by hash of the statistics."""
+    xs = [F.col(f"x{i}") for i in range(DIMS)]
+    hit = [F.when(F.pmod(F.xxhash64(*xs, F.lit(k)), F.lit(PART)) == 0, F.lit(k)) for k in range(2, STARTS)]
+    origin = first.select("key", *[F.col(f"m{i}").alias(f"o{i}") for i in range(DIMS)])
+    drawn = rows.join(origin, "key").select("*", F.explode(F.array_compact(F.array(F.lit(1), *hit))).alias("start"))
+    return _moments(drawn, 1.0)
+
+
+def log_determinant() -> Column:
+    """Of the covariance with the Cholesky factor l00..."""
+    return 2 * reduce(lambda a, b: a + b, [F.log(F.col(f"l{i}{i}")) for i in range(DIMS)])
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """key, centre m0.., Cholesky factor l00.. of the robust covariance of x0.. in each group of ``rows`` (key, x0, ...).
+
+    Several starts (medians and median deviations, the whole group's moments,
+    those of drawn parts) each take concentration steps: the COVER share of a
+    group that lies nearest gives the next centre and covariance.  Of a
+    group's results the one of least determinant stays, of equal ones the
+    earlier start.  Floors add to the variances, so constant statistics don't
+    make a covariance singular; a group of fewer rows than statistics is
+    regular through them alone.
+    """
+    first = stage(_spread_start(rows), "mcd")
+    model = stage(first.unionByName(_drawn(rows, first)), "mcd")
+    group = ["key", "start"]
     for _ in range(STEPS):
-        near = rows.join(model, "key").select("key", *[F.col(f"x{i}") for i in range(DIMS)], *[F.col(f"m{i}") for i in range(DIMS)], F.floor(F.log1p(_distance()) * BINS).cast("bigint").alias("far"))
-        inner = near.join(_quantile(near, ["key"], "far", COVER), "key").where("far <= bin")
-        shifted = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIMS)]
-        sums = [F.avg(shifted[i]).alias(f"a{i}") for i in range(DIMS)] + [F.avg(shifted[i] * shifted[j]).alias(f"b{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-        moments = inner.groupBy("key").agg(*sums, *[F.max(f"m{i}").alias(f"o{i}") for i in range(DIMS)])
-        cov = {(i, j): CONSISTENT * (F.col(f"b{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + (floors[i] ** 2 if i == j else 0.0) for i in range(DIMS) for j in range(i + 1)}
-        model = _with(moments, [(f"m{i}", F.col(f"o{i}") + F.col(f"a{i}")) for i in range(DIMS)])
-        model = stage(_with(model, _cholesky(cov)).select(*_MODEL), "mcd")
-    return model
+        near = rows.join(model, "key").select(*group, *[F.col(f"x{i}") for i in range(DIMS)], *[F.col(f"m{i}").alias(f"o{i}") for i in range(DIMS)], F.floor(F.log1p(_distance()) * BINS).cast("bigint").alias("far"))
+        inner = near.join(_quantile(near, group, "far", COVER), group).where("far <= bin")
+        model = stage(_moments(inner, CONSISTENT), "mcd")
+    found = F.struct(log_determinant().alias("size"), "start", *_MODEL[1:])
+    return model.groupBy("key").agg(F.min(found).alias("best")).select("key", *[F.col(f"best.{c}") for c in _MODEL[1:]])
 
 
 def _shrunk(own: DataFrame, prior: DataFrame) -> DataFrame:

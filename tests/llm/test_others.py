@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import math
 import random
 from collections import Counter
@@ -151,12 +152,16 @@ def test_propagation_against_dense_iteration(spark):
     found = {r["host"]: r for r in url_filter.judge_urls(df, [("allow", "t", "/allow"), ("block", "bad", "/block"), ("block", "bad2", "/block")]).collect()}
 
     def dense(edges, seeds):
-        score = {h: 0.15 * s for h, s in seeds.items()}
-        for _ in range(100):
-            nxt = Counter({h: 0.15 * s for h, s in seeds.items()})
+        mass = sum(seeds.values())
+        score = dict(seeds)
+        for _ in range(200):
+            nxt = Counter()
             for h, out in edges.items():
                 for x in out:
                     nxt[x] += 0.85 * score.get(h, 0) / len(out)
+            back = (mass - sum(nxt.values())) / mass  # what is not passed on returns to the seeds
+            for h, s in seeds.items():
+                nxt[h] += back * s
             score = nxt
         return score
 
@@ -166,7 +171,7 @@ def test_propagation_against_dense_iteration(spark):
             back.setdefault(x, []).append(h)
     trust, distrust = dense(links, {"t": 1.0}), dense(back, {"bad": 1.0, "bad2": 1.0})
     for h, r in found.items():
-        assert abs(r["trust"] - trust.get(h, 0)) < 0.01 and abs(r["distrust"] - distrust.get(h, 0)) < 0.01
+        assert abs(r["trust"] - trust.get(h, 0)) < 1e-4 and abs(r["distrust"] - distrust.get(h, 0)) < 1e-4
         if r["rule"] is None:
             assert r["verdict"] == ("block" if r["distrust"] > 0.5 * (r["trust"] + r["distrust"]) else "allow")
     assert found["e"]["verdict"] == found["d"]["verdict"] == "block" and found["z"]["verdict"] == "allow"
@@ -188,24 +193,44 @@ def test_statistics_and_base_rules(docs, clash):
     assert quality.judge(docs([]).limit(0)).count() == 0
 
 
-def test_outliers_against_numpy(spark):
+def regular(inner, factor):
+    floors = np.array(list(quality.FLOORS.values()))
+    return inner.mean(axis=0), np.cov(inner.T, bias=True) * factor + np.diag(floors**2)
+
+
+def factors(rows):
+    """Centre and covariance of each estimated group."""
+    d = range(quality.DIMS)
+    lower = lambda r: np.array([[r[f"l{i}{j}"] if j <= i else 0.0 for j in d] for i in d])
+    return {r["key"]: (np.array([r[f"m{i}"] for i in d]), lower(r) @ lower(r).T) for r in rows}
+
+
+def test_the_least_determinant_of_all_subsets(spark):
+    """Of small groups, every subset of the covered size is tried."""
+    tables = {}
+    for g in range(6):
+        r = np.random.default_rng(g)
+        x = np.vstack([r.normal([5, 0.3, 0.4, 0.3], [0.5, 0.1, 0.15, 0.1], (10, 4)), r.normal([9, 0.9, 1.2, 0.6], [0.5, 0.1, 0.15, 0.1], (2, 4))])
+        tables[f"g{g}"] = x
+    df = spark.createDataFrame([(k, *map(float, v)) for k, x in tables.items() for v in x], "key string, x0 double, x1 double, x2 double, x3 double")
+    found = factors(quality.estimate(df).collect())
+    for k, x in tables.items():
+        best = min((np.linalg.det(regular(x[list(c)], quality.CONSISTENT)[1]), c) for c in itertools.combinations(range(12), 9))
+        assert np.linalg.det(found[k][1]) <= best[0] * 1.35, k
+        assert np.abs(found[k][0] - x[:10].mean(axis=0)).max() < 0.6, k
+
+
+def test_outliers_are_far_from_a_third_of_bad_rows(spark):
     r = np.random.default_rng(5)
     clean = r.normal([4.5, 0.05, 0.05, 0.1], [0.4, 0.02, 0.02, 0.05], (600, 4))
-    bad = r.normal([4.5, 0.7, 0.05, 0.1], [0.4, 0.02, 0.02, 0.05], (150, 4))
+    bad = r.normal([4.5, 0.7, 0.05, 0.1], [0.4, 0.02, 0.02, 0.05], (200, 4))
     x = np.abs(np.vstack([clean, bad]))
     df = spark.createDataFrame([("g", *map(float, v)) for v in x], "key string, x0 double, x1 double, x2 double, x3 double")
-    model = quality.estimate(df)
-    far = np.array([v[0] for v in df.join(model, "key").select("x1", quality._distance().alias("d")).orderBy("x1").select("d").collect()])
-    floors = np.array(list(quality.FLOORS.values()))
-    med = np.floor(np.median(x, axis=0) * quality.BINS) / quality.BINS
-    centre, cov = med, np.diag((1.4826 * np.median(np.abs(x - med), axis=0)) ** 2 + floors**2)
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
-        inner = x[d <= np.quantile(d, quality.COVER)]
-        centre, cov = inner.mean(axis=0), np.cov(inner.T, bias=True) * quality.CONSISTENT + np.diag(floors**2)
-    want = np.sqrt(np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre))[np.argsort(x[:, 1])]
-    assert np.abs(far - want).max() < 0.1
+    (centre, cov) = factors(quality.estimate(df).collect())["g"]
+    far = np.sqrt(np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre))
     assert far[:600].max() < 4 < far[600:].min()
+    rows = df.join(quality.estimate(df), "key").select("x1", quality._distance().alias("d")).orderBy("x1").collect()
+    assert np.abs(np.array([r["d"] for r in rows]) - far[np.argsort(x[:, 1])]).max() < 1e-6
 
 
 def test_chi_squared():
