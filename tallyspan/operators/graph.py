@@ -46,17 +46,13 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "
 
 
 def reachable_pairs(edges: DataFrame, src: str = "src", dst: str = "dst", skip_direct: bool = False) -> DataFrame:
-    """src, dst: every pair that a path joins (one step at least), by doubling; without the pairs that are edges, if asked."""
+    """src, dst: every pair that a path joins (one step at least); without the pairs that are edges, if asked."""
     direct = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
-    held = staged(direct)
-    n = held.count()
-    while True:
-        joined = held.select("src", F.col("dst").alias("_m")).join(held.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst")
-        held = staged(held.unionByName(joined).distinct())
-        now = held.count()
-        if now == n:
-            break
-        n = now
+    held = fresh = staged(direct)
+    while not fresh.isEmpty():  # only pairs that the last round found grow by one more edge
+        step = fresh.select("src", F.col("dst").alias("_m")).join(direct.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
+        fresh = staged(step.join(held, ["src", "dst"], "left_anti"))
+        held = held.unionByName(fresh)
     if not skip_direct:
         return held
     # A pair counts without its own edge if some other first step leads there too.
@@ -106,78 +102,69 @@ def fixed_point(start: DataFrame, edges: DataFrame, node: str, src: str, dst: st
 
 
 def _dominators(rows):
-    """Immediate dominators of one graph, and each node's weight with all that it dominates; graphs are of one file."""
+    """Immediate dominators of one graph, and each node's weight with all that it dominates; graphs are of one file.
+
+    A node's set of dominators is itself and what all that lead to it have in
+    common; sets are integers with a bit for each node, and shrink until they
+    stand still.  The immediate dominator is the one whose own set is the
+    node's without the node.
+    """
     import pandas as pd
 
-    graph = rows["graph"].iloc[0]
-    out: dict = {}
-    nodes: list = []
-    weight: dict = {}
+    names = sorted({x for c in ("src", "dst") for x in rows[c] if x is not None and x == x}, key=str)
+    number = {x: i for i, x in enumerate(names)}
+    into, onward, weight = [0] * len(names), [0] * len(names), [0] * len(names)
     for r in rows.itertuples():
+        i = number[r.src]
         if r.dst is None or r.dst != r.dst:
-            weight[r.src] = r.weight
-            nodes.append(r.src)
-        else:
-            out.setdefault(r.src, []).append(r.dst)
-    inner = {d for s, ds in out.items() for d in ds if d != s}
-    root = object()
-    out[root] = sorted((n for n in nodes if n not in inner), key=str)
-    order: list = []
-    seen = {root}
-
-    def walk(top) -> None:
-        stack = [(top, iter(sorted(out.get(top, []), key=str)))]
-        while stack:
-            at, rest = stack[-1]
-            nxt = next((x for x in rest if x not in seen), None)
-            if nxt is None:
-                order.append(at)
-                stack.pop()
-            else:
-                seen.add(nxt)
-                stack.append((nxt, iter(sorted(out.get(nxt, []), key=str))))
-
-    for n in sorted(nodes, key=str):  # a cycle that nothing enters is entered at its first node
-        if n not in seen and n not in out[root]:
-            trial = {root, *out[root]}
-            grown = list(trial)
-            while grown:
-                for x in out.get(grown.pop(), []):
-                    if x not in trial:
-                        trial.add(x)
-                        grown.append(x)
-            if n not in trial:
-                out[root].append(n)
-    walk(root)
-    place = {n: i for i, n in enumerate(order)}
-    before: dict = {n: [] for n in order}
-    for s in order:
-        for d in out.get(s, []):
-            before[d].append(s)
-    idom = {root: root}
-    changed = True
-    while changed:
-        changed = False
-        for n in reversed(order):
-            if n is root:
-                continue
-            met = None
-            for p in before[n]:
-                if p in idom:
-                    a, b = p, met if met is not None else p
-                    while a is not b:
-                        while place[a] < place[b]:
-                            a = idom[a]
-                        while place[b] < place[a]:
-                            b = idom[b]
-                    met = a
-            if idom.get(n) is not met:
-                idom[n], changed = met, True
-    total = {n: weight.get(n, 0) for n in order if n is not root}
-    for n in order:
-        if n is not root and idom[n] is not root:
-            total[idom[n]] += total[n]
-    found = [(graph, n, None if idom[n] is root else idom[n], int(total[n])) for n in order if n is not root]
+            weight[i] = r.weight
+        elif r.dst != r.src:
+            into[number[r.dst]] |= 1 << i
+            onward[i] |= 1 << number[r.dst]
+
+    def bits(held: int):
+        while held:
+            low = held & -held
+            yield low.bit_length() - 1
+            held ^= low
+
+    def with_all_after(held: int) -> int:
+        fresh = held
+        while fresh:
+            step = 0
+            for i in bits(fresh):
+                step |= onward[i]
+            fresh = step & ~held
+            held |= step
+        return held
+
+    entered = sum(1 << i for i, before in enumerate(into) if not before)
+    reached = with_all_after(entered)
+    for i in range(len(names)):  # a cycle that nothing enters is entered at its first node
+        if not reached >> i & 1:
+            entered |= 1 << i
+            reached |= with_all_after(1 << i)
+    every = (1 << len(names)) - 1
+    doms = [1 << i if entered >> i & 1 else every for i in range(len(names))]
+    pending = every & ~entered
+    while pending:
+        again = 0
+        for i in bits(pending):
+            common = every
+            for p in bits(into[i]):
+                common &= doms[p]
+            if common | 1 << i != doms[i]:
+                doms[i] = common | 1 << i
+                again |= onward[i] & ~entered
+        pending = again
+    holder = {held: i for i, held in enumerate(doms)}
+    total = [0] * len(names)
+    for i, held in enumerate(doms):
+        for d in bits(held):
+            total[d] += weight[i]
+    above = [holder.get(held & ~(1 << i)) for i, held in enumerate(doms)]
+    graph = rows["graph"].iloc[0]
+    found = [(graph, x, None if above[i] is None else names[above[i]], int(total[i])) for i, x in enumerate(names)]
     return pd.DataFrame(found, columns=["graph", "node", "idom", "total"])
 
 

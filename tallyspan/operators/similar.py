@@ -168,16 +168,25 @@ def lines_saved(lines: Column, sites: Column, kind: Column) -> Column:
 
 
 def _settle(rows):
-    rows = rows.sort_values(["saves", "sites", "first", "lines"], ascending=[False, True, True, False])
-    taken: list[tuple[int, int]] = []
-    keep = []
-    for r in rows.itertuples():
-        a, b = r.first, r.first + r.lines
-        free = all(b <= x or y <= a for x, y in taken)
-        keep.append(free)
-        if free:
-            taken.append((a, b))
-    return rows[keep]
+    """Rounds: of one stretch's repeats, those that lead on every line they hold stay, and go with all that overlap them, until none is left."""
+    import numpy as np
+
+    rows = rows.sort_values(["saves", "sites", "first", "lines"], ascending=[False, True, True, False]).reset_index(drop=True)
+    begin = (rows["first"] - rows["first"].min()).to_numpy()
+    end = begin + rows["lines"].to_numpy()
+    stays = np.zeros(len(rows), bool)
+    open_ranks = np.arange(len(rows))
+    while len(open_ranks):
+        leader = np.full(end.max(), -1)
+        for r in open_ranks[::-1]:
+            leader[begin[r] : end[r]] = r
+        led = np.array([(leader[begin[r] : end[r]] == r).all() for r in open_ranks])
+        stays[open_ranks[led]] = True
+        held = np.zeros(end.max(), bool)
+        for r in open_ranks[led]:
+            held[begin[r] : end[r]] = True
+        open_ranks = np.array([r for r in open_ranks[~led] if not held[begin[r] : end[r]].any()], int)
+    return rows[stays]
 
 
 def settle(repeats: DataFrame, key: str) -> DataFrame:

@@ -120,33 +120,23 @@ def tolerance_pairing(read):
     return J.within(old, new, ["o_custkey"], "o_totalprice", 5000.0)
 
 
-@query("""
-WITH c AS (SELECT user_id, event_id % 50 AS target, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS code FROM events)
-SELECT user_id, max(code)::INT AS code FROM c WHERE target < 5 GROUP BY user_id
-""")
-def strongest_verdict(read):
-    """The strongest verdict of each user over some targets."""
-    code = F.expr("CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END")
-    return J.strongest(read("events").where("event_id % 50 < 5").select("user_id", code.alias("code")), ["user_id"], "code")
-
-
 @query("""
 WITH c AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS code FROM events)
 SELECT user_id, max(code)::INT AS code FROM c GROUP BY user_id
 """)
-def strongest_verdict_whole(read):
+def strongest_verdict(read):
     """The strongest verdict of each user over all targets."""
     code = F.expr("CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END")
     return J.strongest(read("events").select("user_id", code.alias("code")), ["user_id"], "code")
 
 
 @query("""
-WITH d AS (SELECT DISTINCT user_id, event_id % 97 AS mutation FROM events WHERE event_type = 'error' AND value > 60), one AS (SELECT mutation FROM d GROUP BY mutation HAVING count(*) = 1)
+WITH d AS (SELECT DISTINCT user_id, event_id % 997 AS mutation FROM events WHERE event_type = 'error'), one AS (SELECT mutation FROM d GROUP BY mutation HAVING count(*) = 1)
 SELECT DISTINCT user_id FROM d WHERE user_id NOT IN (SELECT user_id FROM d WHERE mutation IN (SELECT mutation FROM one))
 """)
 def idle_tests(read):
     """Users all of whose detections another user makes too."""
-    rows = read("events").where("event_type = 'error' and value > 60").select("user_id", (F.col("event_id") % 97).alias("mutation"))
+    rows = read("events").where("event_type = 'error'").select("user_id", (F.col("event_id") % 997).alias("mutation"))
     return J.idle(rows, "user_id", "mutation")
 
 

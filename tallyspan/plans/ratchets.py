@@ -11,8 +11,8 @@ CUT = "2024-01-16 00:00:00"
 
 
 def _halves(read, measure: str):
-    events = read("events").where("value > 60")
-    key = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("#"), F.col("event_type"))
+    events = read("events")
+    key = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("#"), F.col("event_type"), F.lit("@"), F.hour("ts").cast("string"))
     half = lambda cond: events.where(cond).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("value")).select(F.lit(measure).alias("measure"), "key", "value")
     cut = F.lit(CUT).cast("timestamp_ntz")
     return half(F.col("ts") >= cut), half(F.col("ts") < cut)
@@ -24,7 +24,7 @@ def _policies(spark, policy: str, measure: str, bp: int = 0, floor: int = 0):
 
 _HALVES = f"""
 halves AS (
-  SELECT 'u' || user_id::VARCHAR || '#' || event_type AS key, count(*) FILTER (ts >= TIMESTAMP '{CUT}') AS n, count(*) FILTER (ts < TIMESTAMP '{CUT}') AS w FROM events WHERE value > 60 GROUP BY 1
+  SELECT 'u' || user_id::VARCHAR || '#' || event_type || '@' || extract(hour FROM ts)::VARCHAR AS key, count(*) FILTER (ts >= TIMESTAMP '{CUT}') AS n, count(*) FILTER (ts < TIMESTAMP '{CUT}') AS w FROM events GROUP BY 1
 ), now AS (SELECT key, n AS value FROM halves WHERE n > 0), was AS (SELECT key, w AS value FROM halves WHERE w > 0)
 """
 
@@ -88,9 +88,10 @@ def ratchet_new_at_zero(read):
     return R.new_at_zero(full, was.where("value >= 2"), _policies(now.sparkSession, "census", "census"))
 
 
-def _parts(read, some: str = "l_linenumber = 1 and l_quantity > 40"):
-    lines = read("lineitem").where(some)
-    key = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("#p"), F.col("l_partkey").cast("string"))
+def _parts(read):
+    lines = read("lineitem")
+    item = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit("q"), F.col("l_quantity").cast("int").cast("string"))
+    key = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("#"), item)
     cut = F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
     of = lambda cond: lines.where(cond).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("value")).select(F.lit("parts").alias("measure"), "key", "value")
     return of(F.col("l_shipdate") >= cut), of(F.col("l_shipdate") < cut)
@@ -98,9 +99,9 @@ def _parts(read, some: str = "l_linenumber = 1 and l_quantity > 40"):
 
 _PARTS = """
 now AS (
-  SELECT 's' || l_suppkey::VARCHAR || '#p' || l_partkey::VARCHAR AS key, count(*) AS value FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01' AND l_linenumber = 1 AND l_quantity > 40 GROUP BY 1
+  SELECT 's' || l_suppkey::VARCHAR || '#p' || l_partkey::VARCHAR || 'q' || l_quantity::INT::VARCHAR AS key, count(*) AS value FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01' GROUP BY 1
 ), was AS (
-  SELECT 's' || l_suppkey::VARCHAR || '#p' || l_partkey::VARCHAR AS key, count(*) AS value FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01' AND l_linenumber = 1 AND l_quantity > 40 GROUP BY 1
+  SELECT 's' || l_suppkey::VARCHAR || '#p' || l_partkey::VARCHAR || 'q' || l_quantity::INT::VARCHAR AS key, count(*) AS value FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01' GROUP BY 1
 ), arrived AS (
   SELECT split_part(now.key, '#', 2) AS item, min(now.key) AS key FROM now LEFT JOIN was USING (key) WHERE was.key IS NULL GROUP BY 1 HAVING count(*) = 1
 ), gone AS (
@@ -109,9 +110,6 @@ now AS (
 """
 
 
-_PARTS_WHOLE = _PARTS.replace(" AND l_linenumber = 1 AND l_quantity > 40", "")
-
-
 @query(f"WITH {_PARTS} SELECT 'parts' AS measure, key, old_key FROM moved")
 def ratchet_moved(read):
     """Parts that one supplier dropped and another took up."""
@@ -164,51 +162,6 @@ def record_forgotten(read):
     return R.forgotten(was, present, was.sparkSession.createDataFrame([("parts",)], "measure string"))
 
 
-# The same over every line item.
-@query(f"WITH {_PARTS_WHOLE} SELECT 'parts' AS measure, key, old_key FROM moved")
-def ratchet_moved_whole(read):
-    now, was = _parts(read, "true")
-    return R.moved(now, was, _policies(now.sparkSession, "items", "parts"))
-
-
-@query(f"""
-WITH {_PARTS_WHOLE}
-SELECT 'parts' AS measure, now.key, least(now.value, was.value) AS value
-FROM now LEFT JOIN moved USING (key) JOIN was ON was.key = coalesce(old_key, now.key)
-""")
-def record_tightened_whole(read):
-    now, was = _parts(read, "true")
-    return R.tightened(now, was, _policies(now.sparkSession, "items", "parts"))
-
-
-@query(f"WITH {_PARTS_WHOLE} SELECT 'parts' AS measure, now.key, greatest(now.value, coalesce(was.value, now.value)) AS value FROM now LEFT JOIN was USING (key)")
-def record_raised_whole(read):
-    return R.raised(*_parts(read, "true"))
-
-
-@query(f"WITH {_PARTS_WHOLE} SELECT 'parts' AS measure, now.key, least(now.value, was.value) AS value FROM now JOIN was USING (key)")
-def record_lowered_whole(read):
-    return R.lowered(*_parts(read, "true"))
-
-
-@query(f"""
-WITH {_PARTS_WHOLE}, renamed AS (SELECT CASE WHEN key LIKE 's7#%' THEN 's9000007' || substr(key, 3) ELSE key END AS key, value FROM was)
-SELECT 'parts' AS measure, key, value, false AS refused FROM renamed
-""")
-def record_renamed_whole(read):
-    return R.moved_file(_parts(read, "true")[1], "s7", "s9000007")
-
-
-@query(f"""
-WITH {_PARTS_WHOLE}
-SELECT 'parts' AS measure, key, value FROM was WHERE split_part(key, '#', 1) IN (SELECT 's' || s_suppkey::VARCHAR FROM supplier WHERE s_acctbal > 0)
-""")
-def record_forgotten_whole(read):
-    was = _parts(read, "true")[1]
-    present = read("supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"))
-    return R.forgotten(was, present, was.sparkSession.createDataFrame([("parts",)], "measure string"))
-
-
 @query(f"""
 WITH {_HALVES}
 SELECT 'items' AS measure, now.key, was.value AS was, now.value AS now FROM now JOIN was USING (key)

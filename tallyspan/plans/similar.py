@@ -18,47 +18,41 @@ def exact_families(read):
     return S.exact_families(read("documents"), "doc_id", F.col("text"))
 
 
+# Texts as multisets of five-word shingles; a text of fewer words is one shingle.
 _NEAR = """
-base AS (SELECT doc_id, text, string_split(lower(text), ' ') AS ws FROM documents WHERE n_chars BETWEEN 200 AND 1200), heads AS (SELECT min(doc_id) AS k, text FROM base GROUP BY text
-), sets AS (SELECT k, t, count(*) AS c FROM (SELECT k, unnest(string_split(lower(text), ' ')) AS t FROM heads) GROUP BY ALL), sizes AS (SELECT k, sum(c) AS n FROM sets GROUP BY k
+heads AS (SELECT min(doc_id) AS k, text FROM documents WHERE text IS NOT NULL GROUP BY text
+), ws AS (SELECT k, string_split(lower(text), ' ') AS ws FROM heads
+), sets AS (SELECT k, t, count(*) AS c FROM (SELECT k, unnest([array_to_string(ws[i:i + 4], ' ') for i in range(1, greatest(len(ws) - 4, 1) + 1)]) AS t FROM ws) GROUP BY ALL
+), sizes AS (SELECT k, sum(c) AS n FROM sets GROUP BY k
 ), shared AS (SELECT x.k AS a, y.k AS b, sum(least(x.c, y.c)) AS s FROM sets x JOIN sets y ON x.t = y.t AND x.k < y.k GROUP BY ALL
-), pairs AS (SELECT a, b, (s * 20000 // (p.n + q.n))::BIGINT AS bp FROM shared JOIN sizes p ON p.k = a JOIN sizes q ON q.k = b WHERE s * 20000 // (p.n + q.n) >= 7500)
+), pairs AS (SELECT a, b, (s * 20000 // (p.n + q.n))::BIGINT AS bp FROM shared JOIN sizes p ON p.k = a JOIN sizes q ON q.k = b WHERE s * 20000 // (p.n + q.n) >= 8000)
 """
 
 
-def _bodies(read):
-    return read("documents").where("n_chars between 200 and 1200")
+def _shingles(text):
+    of = lambda ws: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - 5, F.lit(0))), lambda i: F.array_join(F.slice(ws, i + 1, 5), " "))
+    return F.flatten(F.transform(F.array(F.split(F.lower(text), " ")), of))  # as a variable, a text's words are split once
+
+
+def _heads(read):
+    heads = read("documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("k"))
+    return heads.select("k", _shingles(F.col("text")).alias("ts"))
 
 
 @query(f"""
 WITH RECURSIVE {_NEAR}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT k AS node, k AS other FROM heads UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a
-), part AS (SELECT node, min(other) AS family FROM r GROUP BY node), named AS (SELECT doc_id, family FROM base JOIN heads USING (text) JOIN part ON node = k), f AS (SELECT *, count(*) OVER (PARTITION BY family) AS size FROM named)
+), part AS (SELECT node, min(other) AS family FROM r GROUP BY node), named AS (SELECT doc_id, family FROM documents JOIN heads USING (text) JOIN part ON node = k), f AS (SELECT *, count(*) OVER (PARTITION BY family) AS size FROM named)
 SELECT doc_id, family, size FROM f WHERE size > 1
 """)
 def near_families(read):
-    """Families of near copies among documents of 200 to 1,200 characters."""
-    return S.near_families(_bodies(read), "doc_id", F.col("text"), F.split(F.lower("text"), " "))
+    """Families of near copies among all documents, by shingles of five words."""
+    return S.near_families(read("documents"), "doc_id", F.col("text"), _shingles(F.col("text")), 8000)
 
 
 @query(f"WITH {_NEAR} SELECT a, b, bp FROM pairs")
 def near_pairs(read):
-    """Pairs of such texts, one of each exact family, with their similarity in parts of ten thousand."""
-    heads = _bodies(read).groupBy("text").agg(F.min("doc_id").alias("k"))
-    return S.near_pairs(heads, "k", F.split(F.lower("text"), " "))
-
-
-# These two have no SQL (all pairs by SQL over whole texts were not timed); a fixture is compared with brute force.
-@query(None)
-def near_families_whole(read):
-    """Families of near copies among all documents."""
-    return S.near_families(read("documents"), "doc_id", F.col("text"), F.split(F.lower("text"), " "))
-
-
-@query(None)
-def near_pairs_whole(read):
     """Pairs of all texts, one of each exact family, with their similarity in parts of ten thousand."""
-    heads = read("documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("k"))
-    return S.near_pairs(heads, "k", F.split(F.lower("text"), " "))
+    return S.near_pairs(_heads(read), "k", F.col("ts"), 8000)
 
 
 # Runs grow line by line while they stand elsewhere; the longest from each place is kept if no other site of it has the same line before.
