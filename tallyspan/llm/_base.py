@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing holds any more, which else stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Remove a staged table that nothing will read again."""
     spark = df.sparkSession

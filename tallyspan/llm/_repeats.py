@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._base import pick, stage
+from ._base import pick, release, stage
 
 #: A null id travels as the least integer.
 NULL_ID = -(1 << 63)
@@ -35,7 +35,8 @@ BATCH_BYTES = 8 << 20
 
 Rows = dict[str, np.ndarray]
 Fields = tuple[tuple[str, type], ...]
-ANCHORS: Fields = (("h", np.uint64), ("doc", np.int64), ("first", np.int32), ("last", np.int32), ("at", np.int32))
+#: The windows that start at first..first + span share an anchor, which begins ``at`` units after first.
+ANCHORS: Fields = (("h", np.uint64), ("doc", np.int64), ("first", np.int32), ("span", np.int16), ("at", np.int16))
 _LONE, _WITNESS, _TOLD = 0, 1, 2
 
 
@@ -53,8 +54,12 @@ def twins(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _kind(t: type) -> str:
-    return "int" if t is np.int32 else "bigint"
+def anchor_rows(h: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> Rows:
+    return {"h": h, "doc": doc, "first": first, "span": last - first, "at": at - first}
+
+
+#: How a field travels: numpy's type, Arrow's and Spark's.
+_KINDS = {np.uint64: (pa.int64(), "bigint"), np.int64: (pa.int64(), "bigint"), np.int32: (pa.int32(), "int"), np.int16: (pa.int16(), "smallint")}
 
 
 def repeated(df: DataFrame, produce: Callable[[pa.RecordBatch], Iterator[Rows]], fields: Fields, n_buckets: int) -> DataFrame:
@@ -65,7 +70,7 @@ def repeated(df: DataFrame, produce: Callable[[pa.RecordBatch], Iterator[Rows]],
     """
     key, spread = fields[0][0], fields[1][0]
     packed_schema = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n, _ in fields], ("kind", pa.binary())])
-    out_schema = pa.schema([(n, pa.int32() if t is np.int32 else pa.int64()) for n, t in fields])
+    out_schema = pa.schema([(n, _KINDS[t][0]) for n, t in fields])
 
     def sent(parts: list[Rows]) -> pa.RecordBatch:
         rows = {n: np.concatenate([p[n] for p in parts]) for n, _ in fields}
@@ -104,7 +109,7 @@ def repeated(df: DataFrame, produce: Callable[[pa.RecordBatch], Iterator[Rows]],
         return pa.table([pa.array(rows[n][keep].view(np.int64) if t is np.uint64 else rows[n][keep]) for n, t in fields], schema=out_schema)
 
     packed = df.mapInArrow(deal, "bucket int, " + ", ".join(f"{n} binary" for n, _ in fields) + ", kind binary")
-    return packed.groupBy("bucket").applyInArrow(meet, ", ".join(f"{n} {_kind(t)}" for n, t in fields))
+    return packed.groupBy("bucket").applyInArrow(meet, ", ".join(f"{n} {_KINDS[t][1]}" for n, t in fields))
 
 
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
@@ -137,7 +142,7 @@ def in_shards(anchors: DataFrame, weight, shard_bytes: int) -> DataFrame:
     # At most one heavy anchor for each shard_bytes of text: Spark broadcasts them while they are small, and splits hot keys beyond.
     rows = anchors.join(heavy, F.col("h") == F.col("_h"), "left")
     part = F.pmod(F.xxhash64("doc", "first"), F.coalesce("_parts", F.lit(1))).cast("int")
-    return rows.select("h", "doc", "first", "last", "at", part.alias("part"), F.col("_parts").isNotNull().alias("wide"))
+    return rows.select("h", "doc", "first", "span", "at", part.alias("part"), F.col("_parts").isNotNull().alias("wide"))
 
 
 def by_document(rows: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -240,12 +245,14 @@ def compare(texts: DataFrame, produce, cut, sort, n_buckets: int, weight, size_o
     list of their stretches to rows of ``pieces``; ``sort`` decides a shard.
     """
     anchors = stage(repeated(texts, produce, ANCHORS, n_buckets), f"{label}-anchors")
+    release(texts.sparkSession)
     total = anchors.agg(F.sum(weight)).first()[0] or 0  # one number
-    lists = by_document(in_shards(anchors, weight, shard_bytes), "open", "first", "last", "at", "h", "part", "wide")
+    lists = by_document(in_shards(anchors, weight, shard_bytes), "open", "first", "span", "at", "h", "part", "wide")
     narrowed = texts.join(lists, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "open")
     tasks = int(max(texts.sparkSession.sparkContext.defaultParallelism, total // (8 * shard_bytes)))
     rows = narrowed.mapInArrow(cut, pieces).repartition(tasks, "h", "part").sortWithinPartitions("h", "part")
     decided = stage(rows.mapInArrow(stream_shards(sort, size_of, shard_bytes), FOUND), f"{label}-shards")
+    release(texts.sparkSession)
     ranges = int(max(8, total // shard_bytes))
     met = decided.where("merge").withColumn("_range", F.pmod("d", F.lit(ranges))).groupBy("_range").applyInArrow(merge_shards(whole_first_document), FOUND)
     return decided.where("not merge").select("doc", "first", "last").unionByName(met.select("doc", "first", "last"))

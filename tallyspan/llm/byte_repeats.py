@@ -24,8 +24,8 @@ from ._base import buckets, table
 from ._suffixes import equal_windows
 
 WINDOW = 100
-#: Bytes in an anchor's gram: with windows of 100 bytes about every 35th byte is an anchor.
-GRAM = 32
+#: Bytes in an anchor's gram: with windows of 100 bytes about every 39th byte is an anchor.
+GRAM = 24
 #: Bytes of text in a shard; sorting takes about a hundred bytes of memory for each.
 SHARD_BYTES = 1 << 20
 
@@ -42,7 +42,7 @@ def anchors(window: int, gram: int):
             doc, begin, last, anchor = A.winnow(grams, offsets, window, gram)
             if len(doc):
                 start = offsets[doc]
-                yield {"h": grams[anchor], "doc": docs[first + doc], "first": begin - start, "last": last - start, "at": anchor - start}
+                yield R.anchor_rows(grams[anchor], docs[first + doc], begin - start, last - start, anchor - start)
 
     return produce
 
@@ -53,11 +53,11 @@ def _stretches(window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = R.ids(batch.column(0))
-            lists, (first, last, h, part, wide) = R.flat(batch.column(2), "first", "last", "h", "part", "wide")
+            lists, (first, span, h, part, wide) = R.flat(batch.column(2), "first", "span", "h", "part", "wide")
             for begin, end, data, offsets in A.pieces(batch.column(1)):
                 a, b = lists[begin], lists[end]
                 row = np.repeat(np.arange(end - begin), np.diff(lists[begin : end + 1]))
-                size = (last[a:b] - first[a:b] + window).astype(np.int64)
+                size = span[a:b].astype(np.int64) + window
                 cuts = np.append(0, np.cumsum(size))
                 at = np.repeat(offsets[row] + first[a:b] - cuts[:-1], size) + np.arange(cuts[-1])
                 raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data[at])])
@@ -70,19 +70,27 @@ def sort_shard(window: int):
     """Of a shard's rows: the removed windows, and the firsts that still have to meet other shards'."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        raw = rows.column("bytes").chunk(0)
-        edges = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4).astype(np.int64)
-        data = np.frombuffer(raw.buffers()[2], np.uint8)[edges[0] : edges[-1]]
-        edges -= edges[0]
-        piece = np.repeat(np.arange(len(raw)), np.diff(edges))
+        # Pieces of equal bytes stand in the suffix array once, with as many places.
+        number: dict[bytes, int] = {}
+        copy_of = np.array([number.setdefault(x, len(number)) for x in rows.column("bytes").to_pylist()], np.int64)
+        data = np.frombuffer(b"".join(number), np.uint8)
+        sizes = np.array([len(x) for x in number], np.int64)
+        edges = np.append(0, np.cumsum(sizes))
+        piece = np.repeat(np.arange(len(sizes)), sizes)
         at, group = equal_windows(data, edges[1:][piece], window)
+        order = np.argsort(at)
+        at, group = at[order], group[order]
+        # Every window of every place, with the number of its group.
+        own = np.searchsorted(at, edges)
+        n = np.diff(own)[copy_of]
+        of = np.repeat(np.arange(len(copy_of)), n)
+        index = own[copy_of][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        at, group = at[index], group[index]
         wide = rows.column("wide").to_numpy()
-        meets = (np.bincount(group)[group] > 1) | wide[piece[at]]
-        at, group = at[meets], group[meets]
-        of = piece[at]
+        meets = (np.bincount(group)[group] > 1) | wide[of]
+        at, group, of = at[meets], group[meets], of[meets]
         doc = rows.column("doc").to_numpy()[of]
-        start = at + (rows.column("first").to_numpy() - edges[:-1])[of]
+        start = at + (rows.column("first").to_numpy() - edges[copy_of])[of]
         order = np.lexsort((start, doc, group))
         new = np.append(True, group[order][1:] != group[order][:-1])[: len(order)]
         firsts, rest = order[new], order[~new]
@@ -106,7 +114,7 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_byte
     null and empty texts have none.  ``texts`` (doc_id, text) has unique ids:
     ``_repeats.keyed`` gives rows numbers where they aren't.
     """
-    weight = F.col("last") - F.col("first") + window
+    weight = F.col("span").cast("bigint") + window
     return R.compare(texts, anchors(window, gram), _stretches(window), sort_shard(window), buckets(texts, R.BUCKET_BYTES), weight, "bytes", PIECES, shard_bytes, False, "byte")
 
 

@@ -30,7 +30,7 @@ SEED = 10
 #: Bytes of word digests in a shard, 8 for each word around a seed.
 SHARD_BYTES = 2 << 20
 
-PIECES = "h bigint, part int, wide boolean, doc bigint, first int, at int, words binary"
+PIECES = "h bigint, part int, wide boolean, doc bigint, first int, at smallint, words binary"
 
 
 def _sequences(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -50,7 +50,7 @@ def seeds(window: int, seed: int):
             doc, begin, last, anchor = A.winnow(grams, of, window, seed)
             if len(doc):
                 start = of[doc]
-                yield {"h": grams[anchor], "doc": docs[first + doc], "first": begin - start, "last": last - start, "at": anchor - start}
+                yield R.anchor_rows(grams[anchor], docs[first + doc], begin - start, last - start, anchor - start)
 
     return produce
 
@@ -61,11 +61,11 @@ def _around(window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = R.ids(batch.column(0))
-            lists, (first, last, at, h, part, wide) = R.flat(batch.column(2), "first", "last", "at", "h", "part", "wide")
+            lists, (first, span, at, h, part, wide) = R.flat(batch.column(2), "first", "span", "at", "h", "part", "wide")
             for begin, end, of, digests in _sequences(batch.column(1)):
                 a, b = lists[begin], lists[end]
                 row = np.repeat(np.arange(end - begin), np.diff(lists[begin : end + 1]))
-                size = (last[a:b] - first[a:b] + window).astype(np.int64)
+                size = span[a:b].astype(np.int64) + window
                 cuts = np.append(0, np.cumsum(size))
                 index = np.repeat(of[row] + first[a:b] - cuts[:-1], size) + np.arange(cuts[-1])
                 raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(digests[index])])
@@ -113,10 +113,10 @@ def extend_shard(window: int, seed: int):
         words = np.frombuffer(raw.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(np.uint64)
         edges = (edges - edges[0]) // 8
         doc, first, at, h, part, wide = (rows.column(c).to_numpy() for c in ("doc", "first", "at", "h", "part", "wide"))
-        own = (at - first).astype(np.int64)
+        own = at.astype(np.int64)
         least = own - (np.diff(edges) - window)
         place, left, key = extended(words, edges[:-1] + own, least, own, wide, seed, window - seed)
-        d, start = doc[place], at[place] - left
+        d, start = doc[place], first[place] + own[place] - left
         order = np.lexsort((d, key))
         turn = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
         earliest = np.empty(len(order), np.int64)
@@ -140,7 +140,7 @@ def repeats(texts: DataFrame, window: int = WINDOW, seed: int = SEED, shard_byte
     the window, null and empty texts have no windows.  ``texts`` (doc_id, text)
     has unique ids: ``_repeats.keyed`` gives rows numbers where they aren't.
     """
-    weight = 8 * (F.col("last") - F.col("first") + window)
+    weight = 8 * (F.col("span").cast("bigint") + window)
     return R.compare(texts, seeds(window, seed), _around(window), extend_shard(window, seed), buckets(texts, R.BUCKET_BYTES), weight, "words", PIECES, shard_bytes, True, "word")
 
 
