@@ -247,11 +247,15 @@ def compare(texts: DataFrame, produce, cut, sort, n_buckets: int, weight, size_o
     anchors = stage(repeated(texts, produce, ANCHORS, n_buckets), f"{label}-anchors")
     release(texts.sparkSession)
     total = anchors.agg(F.sum(weight)).first()[0] or 0  # one number
-    lists = by_document(in_shards(anchors, weight, shard_bytes), "open", "first", "span", "at", "h", "part", "wide")
-    narrowed = texts.join(lists, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "open")
     tasks = int(max(texts.sparkSession.sparkContext.defaultParallelism, total // (8 * shard_bytes)))
-    rows = narrowed.mapInArrow(cut, pieces).repartition(tasks, "h", "part").sortWithinPartitions("h", "part")
-    decided = stage(rows.mapInArrow(stream_shards(sort, size_of, shard_bytes), FOUND), f"{label}-shards")
+
+    def dealt() -> DataFrame:
+        lists = by_document(in_shards(anchors, weight, shard_bytes), "open", "first", "span", "at", "h", "part", "wide")
+        narrowed = texts.join(lists, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "open")
+        return narrowed.mapInArrow(cut, pieces).repartition(tasks, "h", "part").sortWithinPartitions("h", "part")
+
+    # No variable holds the plan, so its shuffles go before the next ones are written.
+    decided = stage(dealt().mapInArrow(stream_shards(sort, size_of, shard_bytes), FOUND), f"{label}-shards")
     release(texts.sparkSession)
     ranges = int(max(8, total // shard_bytes))
     met = decided.where("merge").withColumn("_range", F.pmod("d", F.lit(ranges))).groupBy("_range").applyInArrow(merge_shards(whole_first_document), FOUND)
