@@ -10,6 +10,7 @@ and ``sequence_errors`` are the same questions asked of a finished journal.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,13 +19,14 @@ from pyspark.sql import functions as F
 
 SCHEMA = "instance string, seq bigint, elapsed_ms bigint, event string, phase string, invocation bigint, limit_ms bigint"
 OUTPUT = "instance string, seq bigint, status string, detail string"
-STATE = "next_seq bigint, last_ms bigint, phase string, ended boolean, error string, open_ids array<bigint>, open_until array<bigint>"
+STATE = "next_seq bigint, last_ms bigint, phase string, ended boolean, error string, open_ids array<bigint>, open_until array<bigint>, offset bigint"
 
 
 def deadlines(rows: DataFrame, key: str, id: str, order: list[str], ms: str, begins: Column, ends: Column, limit: int) -> DataFrame:
     """key, opened, never_ended, late: invocations of each key, those no later end of their id closes, and those it closes past the limit."""
-    after = Window.partitionBy(key, id).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    closed = rows.withColumn("_end", F.first_value(F.when(ends, F.col(ms)), ignoreNulls=F.lit(True)).over(after)).where(begins)
+    # Read backwards, the next end is the last one seen: one pass over each invocation's rows.
+    backwards = Window.partitionBy(key, id).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    closed = rows.withColumn("_end", F.last_value(F.when(ends, F.col(ms)), ignoreNulls=F.lit(True)).over(backwards)).where(begins)
     return closed.groupBy(key).agg(F.count(F.lit(1)).alias("opened"), F.count(F.when(F.col("_end").isNull(), 1)).alias("never_ended"), F.count(F.when(F.col("_end") > F.col(ms) + limit, 1)).alias("late"))
 
 
@@ -54,12 +56,23 @@ class Watch:
 
     def __init__(self, held: tuple | None = None):
         if held is None:
-            held = (0, 0, None, False, None, [], [])
+            held = (0, 0, None, False, None, [], [], None)
         self.next_seq, self.last_ms, self.phase, self.ended, self.error = held[:5]
         self.open = dict(zip(held[5], held[6], strict=True))
+        self.offset = held[7]
 
     def kept(self) -> tuple:
-        return self.next_seq, self.last_ms, self.phase, self.ended, self.error, list(self.open), list(self.open.values())
+        return self.next_seq, self.last_ms, self.phase, self.ended, self.error, list(self.open), list(self.open.values()), self.offset
+
+    def anchor(self, wall_ms: int, elapsed_ms: int) -> None:
+        """How far the watcher's clock is ahead of the instance's, at most: records arrive late, never early."""
+        ahead = wall_ms - elapsed_ms
+        self.offset = ahead if self.offset is None else min(self.offset, ahead)
+
+    def next_deadline(self) -> int | None:
+        """The wall time after which the next open invocation is overdue."""
+        until = [u for u in self.open.values() if u >= 0]
+        return None if self.error or self.ended or not until or self.offset is None else min(until) + self.offset + 1
 
     def fail(self, seq: int, why: str) -> list[tuple]:
         self.error = why
@@ -110,20 +123,33 @@ class Watch:
 
 def _watch(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     watch = Watch(state.get if state.exists else None)
-    for rows in batches:
-        found = [(key[0], *x) for r in rows.itertuples() for x in watch.take(r)]
-        yield pd.DataFrame(found, columns=["instance", "seq", "status", "detail"])
+    wall = int(time.time() * 1000)
+    found: list[tuple] = []
+    if state.hasTimedOut:
+        found = watch.passed(watch.next_seq - 1, wall - watch.offset)
+    else:
+        for rows in batches:
+            for r in rows.itertuples():
+                watch.anchor(wall, int(r.elapsed_ms))
+                found += watch.take(r)
+    yield pd.DataFrame([(key[0], *x) for x in found], columns=["instance", "seq", "status", "detail"])
     state.update(watch.kept())
+    due = watch.next_deadline()
+    if due is not None:
+        state.setTimeoutDuration(max(1, due - int(time.time() * 1000)))
 
 
 def watch(stream: DataFrame) -> DataFrame:
     """instance, seq, status, detail: what each record of a stream of ``SCHEMA`` settles, in the order in which records arrive.
 
-    State is one row per instance, with its open invocations only.
+    State is one row per instance, with its open invocations only.  An
+    instance that falls silent is woken when the watcher's clock passes its
+    next deadline, told from the least difference of the two clocks so far; an
+    invocation told overdue so, by its last record's number, isn't told again.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return stream.groupBy("instance").applyInPandasWithState(_watch, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("instance").applyInPandasWithState(_watch, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def idle_spans(rows: DataFrame, key: str, at: str, progress: Column, wait: str) -> DataFrame:
