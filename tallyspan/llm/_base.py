@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,9 +70,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that nothing holds any more, which else stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the shuffle files of plans that nothing holds any more, which else stay until the driver happens to collect its garbage.
+
+    Listeners hold a finished plan for a moment, and files go in the
+    background, so this waits a little and collects again.
+    """
+    for pause in (0.3, 0.7):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def drop(df: DataFrame) -> None:
