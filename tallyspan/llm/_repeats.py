@@ -247,7 +247,7 @@ def compare(texts: DataFrame, produce, cut, sort, n_buckets: int, weight, size_o
     anchors = stage(repeated(texts, produce, ANCHORS, n_buckets), f"{label}-anchors")
     release(texts.sparkSession)
     total = anchors.agg(F.sum(weight)).first()[0] or 0  # one number
-    tasks = int(max(texts.sparkSession.sparkContext.defaultParallelism, total // (8 * shard_bytes)))
+    tasks = int(max(2 * texts.sparkSession.sparkContext.defaultParallelism, total // (32 * shard_bytes)))
 
     def dealt() -> DataFrame:
         lists = by_document(in_shards(anchors, weight, shard_bytes), "open", "first", "span", "at", "h", "part", "wide")
