@@ -121,7 +121,7 @@ class Watch:
         return [(seq, "overdue", str(i)) for i in over]
 
 
-def _watch(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def _watch(key: tuple, batches: Iterator[pd.DataFrame], state, wake: bool) -> Iterator[pd.DataFrame]:
     watch = Watch(state.get if state.exists else None)
     wall = int(time.time() * 1000)
     found: list[tuple] = []
@@ -135,21 +135,24 @@ def _watch(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
     yield pd.DataFrame([(key[0], *x) for x in found], columns=["instance", "seq", "status", "detail"])
     state.update(watch.kept())
     due = watch.next_deadline()
-    if due is not None:
+    if due is not None and wake:
         state.setTimeoutDuration(max(1, due - int(time.time() * 1000)))
 
 
-def watch(stream: DataFrame) -> DataFrame:
+def watch(stream: DataFrame, wake: bool = False) -> DataFrame:
     """instance, seq, status, detail: what each record of a stream of ``SCHEMA`` settles, in the order in which records arrive.
 
-    State is one row per instance, with its open invocations only.  An
-    instance that falls silent is woken when the watcher's clock passes its
-    next deadline, told from the least difference of the two clocks so far; an
-    invocation told overdue so, by its last record's number, isn't told again.
+    State is one row per instance, with its open invocations only.  With
+    ``wake``, for streams that run on, an instance that falls silent is woken
+    when the watcher's clock passes its next deadline, told from the least
+    difference of the two clocks so far; an invocation told overdue so, by its
+    last record's number, isn't told again.  A query that ends when all input
+    is read has no one to wake it, and would never end with ``wake``.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return stream.groupBy("instance").applyInPandasWithState(_watch, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kind = GroupStateTimeout.ProcessingTimeTimeout if wake else GroupStateTimeout.NoTimeout
+    return stream.groupBy("instance").applyInPandasWithState(lambda key, batches, state: _watch(key, batches, state, wake), OUTPUT, STATE, "append", kind)
 
 
 def idle_spans(rows: DataFrame, key: str, at: str, progress: Column, wait: str) -> DataFrame:

@@ -85,7 +85,7 @@ def test_a_silent_instance_becomes_overdue(spark, tmp_path):
 
     events = [("q", 0, 0, "header", None, None, None), ("q", 1, 1, "begin", None, 4, 1500)]
     spark.createDataFrame(events, journal.SCHEMA).coalesce(1).write.json(f"{tmp_path}/in")
-    out = journal.watch(spark.readStream.schema(journal.SCHEMA).json(f"{tmp_path}/in"))
+    out = journal.watch(spark.readStream.schema(journal.SCHEMA).json(f"{tmp_path}/in"), wake=True)
     q = out.writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
     try:
         end = time.time() + 90
