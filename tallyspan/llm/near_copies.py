@@ -76,7 +76,7 @@ def signatures(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def bands(signature: np.ndarray) -> np.ndarray:
     used = PERMUTATIONS // ROWS * ROWS
-    halves = [signature[:, h * PERMUTATIONS : h * PERMUTATIONS + used].reshape(len(signature), -1, ROWS) for h in (0, 1)]
+    halves = [signature[:, h * PERMUTATIONS : h * PERMUTATIONS + used].reshape(len(signature), used // ROWS, ROWS) for h in (0, 1)]
     values = np.concatenate(halves, axis=1).astype(np.uint64)
     return A.mix((values * _FOLD).sum(axis=2, dtype=np.uint64) + A.mix(np.arange(1, BANDS + 1, dtype=np.uint64)))
 
