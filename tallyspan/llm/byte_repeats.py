@@ -196,3 +196,36 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"])
     return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes stand as pairs of hex digits; texts are cut into blocks first, so that no window is sought from the start of a long text.
+SQL = f"""
+WITH raw AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), blocks AS (
+  SELECT doc_id, x, unnest(range(0, length(x) // 2, 1000)) AS b FROM raw
+), pieces AS (
+  SELECT doc_id, b, substring(x, 2 * b + 1, 2 * {999 + WINDOW}) AS piece FROM blocks
+), starts AS (
+  SELECT doc_id, b, piece, unnest(range(0, least(1000, length(piece) // 2 - {WINDOW - 1}))) AS i FROM pieces
+), ranked AS (
+  SELECT doc_id, b + i AS s, row_number() OVER (PARTITION BY md5(substring(piece, 2 * i + 1, {2 * WINDOW})) ORDER BY doc_id, b + i) AS nth FROM starts
+), later AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {WINDOW} THEN 0 ELSE 1 END AS fresh FROM ranked WHERE nth > 1
+), numbered AS (
+  SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM later
+), spans AS (
+  SELECT doc_id, min(s) AS lo, max(s) + {WINDOW} AS hi FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS z FROM spans
+  UNION ALL
+  SELECT doc_id, max(hi), NULL FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substring(x, 2 * a + 1, 2 * (coalesce(z, length(x) // 2) - a)), '' ORDER BY a) AS left_over FROM gaps JOIN raw USING (doc_id) GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(left_over, x))) AS kept_sha256
+FROM raw LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -310,3 +310,35 @@ def keep_one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+#: The links by shared shingles, all pairs of them: for tables of about 1,000 documents.
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents
+), lists AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS ss
+  FROM w
+), sized AS (
+  SELECT doc_id, len(ss) AS n, md5(array_to_string(list_sort(ss), chr(10))) AS same, ss FROM lists
+), nodes AS (
+  SELECT min(doc_id) AS node, same FROM sized WHERE n > 0 GROUP BY same
+), shingles AS (
+  SELECT node, n, unnest(ss) AS s FROM nodes JOIN sized ON doc_id = node
+), links AS (
+  SELECT a.node AS u, b.node AS v FROM shingles a JOIN shingles b ON a.s = b.s AND a.node < b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reached AS (
+  SELECT node AS u, node AS v FROM nodes
+  UNION
+  SELECT r.u, b.v FROM reached r JOIN both_ways b ON r.v = b.u
+), parts AS (
+  SELECT u AS node, min(v) AS least FROM reached GROUP BY u
+)
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, coalesce(least, s.doc_id) AS component_id, s.doc_id = coalesce(least, s.doc_id) AS kept
+FROM sized s LEFT JOIN nodes k ON s.n > 0 AND s.same = k.same LEFT JOIN parts USING (node)
+"""

@@ -19,6 +19,9 @@ QUERIES = {
 SQL = {
     "op1_mix_sources": mixing.SQL,
     "op2_warc": warc.SQL,
+    "op3_byte_repeats": byte_repeats.SQL,
     "op4_word_repeats": word_repeats.SQL,
+    "op6_url_filter": url_filter.SQL,
+    "op7_near_copies": near_copies.SQL,
     "op9_contamination": contamination.SQL,
 }

@@ -137,3 +137,55 @@ def judge_urls(pages: DataFrame, rules=RULES, block_over: float = BLOCK_OVER, da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql() -> str:
+    listed = ", ".join(f"('{v}', '{_rule_host(h)}', '{p}')" for v, h, p in RULES)
+    link = _LINK.replace("'", "''")
+    return f"""
+WITH RECURSIVE placed AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path FROM pages
+), rules(verdict, domain, prefix) AS (
+  VALUES {listed}
+), fitting AS (
+  SELECT page_id, domain || prefix AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(domain || prefix) DESC, domain || prefix, verdict) AS nth
+  FROM placed JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix)
+), judged AS (
+  SELECT p.page_id, host, path, rule, verdict FROM placed p LEFT JOIN fitting f ON p.page_id = f.page_id AND nth = 1
+), seeds AS (
+  SELECT verdict AS kind, host, count(*)::DOUBLE AS seed FROM judged WHERE verdict IS NOT NULL GROUP BY verdict, host
+), masses AS (
+  SELECT kind, sum(seed) AS mass FROM seeds GROUP BY kind
+), links AS (
+  SELECT host AS src, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '{link}', 1))) AS named FROM placed WHERE host <> ''
+), edges AS (
+  SELECT src, translate(named, '{_UPPER}', '{_LOWER}') AS dst, count(*)::DOUBLE AS w FROM links WHERE src <> translate(named, '{_UPPER}', '{_LOWER}') GROUP BY ALL
+), steps AS (
+  SELECT 'allow' AS kind, src, dst, w / sum(w) OVER (PARTITION BY src) AS part FROM edges
+  UNION ALL
+  SELECT 'block', dst, src, w / sum(w) OVER (PARTITION BY dst) FROM edges
+), sources AS (
+  SELECT DISTINCT kind, src FROM steps
+), flow AS (
+  SELECT 0 AS r, kind, host, seed AS score FROM seeds
+  UNION ALL
+  SELECT r + 1, kind, host, sum(score) FROM (
+    SELECT f.r, f.kind, dst AS host, f.score * part * {DAMPING} AS score FROM flow f JOIN steps s ON f.kind = s.kind AND f.host = s.src
+    UNION ALL
+    SELECT h.r, s.kind, s.host, s.seed * (1 - {DAMPING} * held / mass)
+    FROM seeds s JOIN masses USING (kind) JOIN (
+      SELECT f.r, f.kind, sum(CASE WHEN o.src IS NULL THEN 0 ELSE f.score END) AS held
+      FROM flow f LEFT JOIN sources o ON f.kind = o.kind AND f.host = o.src GROUP BY f.r, f.kind
+    ) h ON h.kind = s.kind
+  ) WHERE r < {ROUNDS} GROUP BY r, kind, host
+), scores AS (
+  SELECT host, sum(score) FILTER (kind = 'allow') AS trust, sum(score) FILTER (kind = 'block') AS distrust FROM flow WHERE r = {ROUNDS} GROUP BY host
+)
+SELECT page_id, j.host, path, rule, coalesce(verdict,
+  CASE WHEN coalesce(distrust, 0) > {BLOCK_OVER} * (coalesce(trust, 0) + coalesce(distrust, 0)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN scores s ON j.host = s.host
+"""
+
+
+#: The query stops once scores stand still; this goes through all rounds.
+SQL = _sql()
