@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_repeats, contamination, languages, mixing, near_copies, quality, toxicity, url_filter, warc, word_repeats
+from . import byte_repeats, contamination, languages, merkle, mixing, near_copies, near_vectors, quality, toxicity, url_filter, warc, whitening, word_repeats
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_contamination": contamination.query,
     "op10_toxicity": toxicity.query,
+    "op11_merkle_manifest": merkle.query,
+    "op12_whitening": whitening.query,
+    "op13_near_vectors": near_vectors.query,
 }
 SQL = {
     "op1_mix_sources": mixing.SQL,
@@ -24,4 +27,6 @@ SQL = {
     "op6_url_filter": url_filter.SQL,
     "op7_near_copies": near_copies.SQL,
     "op9_contamination": contamination.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op13_near_vectors": near_vectors.SQL,
 }
