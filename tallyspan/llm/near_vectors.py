@@ -1,9 +1,9 @@
 """Near duplicates among embeddings by lattice hashing.
 
 Vectors that are equal in label and entries collapse to one class first.  Each
-table projects a class's direction to eight random dimensions and decodes it to
-the nearest point of the lattice E8; the class lives in that point's cell and
-also visits the cells of the neighbouring points that it lies nearest to.
+table projects a class's direction twice to eight random dimensions and decodes
+both to the nearest point of the lattice E8; the class lives in that pair's cell
+and also visits the cells of the neighbouring points that it lies nearest to.
 Classes that share a cell, one of them living there, are compared by cosine.
 
 A pair may meet in several cells.  It counts in the first only, which both
@@ -32,9 +32,11 @@ from ._components import components
 
 LEAST = 0.98
 #: Tables, and neighbouring cells that a vector visits in each.
-TABLES, PROBES = 4, 3
-#: A cell's scale in units of the distance that two vectors at the threshold have after projection, on average.
-REACH = 2.12
+TABLES, PROBES = 6, 3
+#: Lattice points in a cell: two, as unrelated vectors share a single one too often.
+POINTS = 2
+#: A lattice's scale in units of the distance that two vectors at the threshold have after projection, on average.
+REACH = 2.83
 #: Vectors in a block, and bytes of them.
 BLOCK, BLOCK_BYTES = 2000, 4 << 20
 #: Bytes of vectors that a task compares at once, and in all, about.
@@ -87,17 +89,32 @@ def _key(points: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 
 def cells(unit: np.ndarray, label: np.ndarray, least: float = LEAST) -> np.ndarray:
-    """vectors x tables x (1 + PROBES): the cell that each unit vector lives in and those it visits, as digests with the label's."""
+    """vectors x tables x (1 + PROBES): the cell that each unit vector lives in and those it visits, as digests with the label's.
+
+    A cell is POINTS lattice points, each of a projection of its own; a visit
+    moves one of them to a neighbour.
+    """
     n, d = unit.shape
     scale = REACH * np.sqrt(2 - 2 * least) * np.sqrt(min(1.0, 8 / d))
     out = np.empty((n, TABLES, 1 + PROBES), np.uint64)
     for t in range(TABLES):
-        basis, shift = _projection(d, t)
-        y = unit @ basis / scale + shift
-        home = lattice_point(y)
-        nearest = np.argpartition(-((y - home) @ neighbours().T), PROBES, axis=1)[:, :PROBES]
-        points = np.concatenate([home[:, None], home[:, None] + neighbours()[nearest]], axis=1)
-        out[:, t] = _key(points, A.mix(label + np.uint64(t * 0x10001 + d))[:, None])
+        homes, own, gains = [], [], []
+        for b in range(POINTS):
+            basis, shift = _projection(d, t * POINTS + b)
+            y = unit @ basis / scale + shift
+            homes.append(lattice_point(y))
+            own.append(_key(homes[b], np.full(n, b, np.uint64)))
+            gains.append((y - homes[b]) @ neighbours().T)
+        nearest = np.argpartition(-np.concatenate(gains, axis=1), PROBES, axis=1)[:, :PROBES]
+        whole = np.sum(own, axis=0, dtype=np.uint64)
+        salt = A.mix(label + np.uint64(t * 0x10001 + d))
+        out[:, t, 0] = A.mix(whole ^ salt)
+        for p in range(PROBES):
+            point, move = np.divmod(nearest[:, p], len(neighbours()))
+            for b in range(POINTS):
+                some = np.flatnonzero(point == b)
+                moved = _key(homes[b][some] + neighbours()[move[some]], np.full(len(some), b, np.uint64))
+                out[some, t, 1 + p] = A.mix((whole[some] - own[b][some] + moved) ^ salt[some])
     return out
 
 
