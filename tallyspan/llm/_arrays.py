@@ -1,4 +1,4 @@
-"""Whole-batch numpy primitives over UTF-8 bytes: words, rolling digests, winnowed anchors."""
+"""Whole-batch numpy primitives over UTF-8 bytes: words, digests of spans, winnowed anchors."""
 
 from __future__ import annotations
 
@@ -9,12 +9,9 @@ import pyarrow as pa
 
 U64 = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
-_INVERSE = pow(_PRIME, -1, 1 << 64)
 #: Bytes of text that the per-byte arrays cover at once; a longer document is taken whole.
 PIECE = 1 << 20
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the splitmix finalizer)."""
@@ -26,42 +23,90 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_PRIME))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the rolling base and of its inverse modulo 2**64."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, PIECE + 1)
-        up, down = np.full(size, _PRIME, U64), np.full(size, _INVERSE, U64)
-        up[0] = down[0] = 1
-        _powers = (np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64))
-    return _powers[0][:n], _powers[1][:n]
-
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The digest of two digests in this order.
 
-class Rolling:
-    """Digests of any span of a sequence of 64-bit values in constant time each."""
+    Every step mixes anew: sums of powers modulo 2**64, as rolling digests
+    have them, cancel out on structured strings (Thue and Morse's among them).
+    """
+    return mix(a * U64(_PRIME) + b)
+
+
+def _sized(digests: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    return mix(digests + np.asarray(n).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on as one number, the first the least; zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,)).astype(U64)
+
+
+def byte_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Digests of spans of bytes: of up to eight bytes the bytes themselves, mixed; of more, two blocks of 8, 16, 32 ... that cover the span."""
+    out = np.zeros(len(starts), U64)
+    n = ends - starts
+    held = _eights(data)
+    short = np.flatnonzero((n <= 8) & (n > 0))
+    keep = U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * n[short].astype(U64))
+    out[short] = held[starts[short]] & keep
+    width, most = 8, int(n.max(initial=0))
+    if most > 8:
+        held = mix(held)
+    while width < most:
+        some = np.flatnonzero((n > width) & (n <= 2 * width))
+        out[some] = joined(held[starts[some]], held[ends[some] - width])
+        if 2 * width < most:
+            held = joined(held[:-width], held[width:])
+        width *= 2
+    return _sized(out, n)
+
+
+def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
+    """The digest of every k consecutive bytes."""
+    held = _eights(data)
+    if k <= 8:
+        return _sized(held[: max(0, len(data) - k + 1)] & U64((1 << (8 * k)) - 1), k)
+    held, width = mix(held), 8
+    while 2 * width < k:
+        held = joined(held[:-width], held[width:])
+        width *= 2
+    n = max(0, len(data) - k + 1)
+    return _sized(joined(held[:n], held[k - width : k - width + n]), k)
+
+
+class Digests:
+    """Digests of spans of a sequence of mixed 64-bit values, each of two blocks of 1, 2, 4 ... values that cover the span."""
 
     def __init__(self, values: np.ndarray):
-        up, self._down = powers(len(values) + 1)
-        self._sums = np.empty(len(values) + 1, U64)
-        self._sums[0] = 0
-        np.cumsum(values * up[:-1], dtype=U64, out=self._sums[1:])
+        self._levels = [values]
+
+    def _level(self, j: int) -> np.ndarray:
+        while len(self._levels) <= j:
+            held, width = self._levels[-1], 1 << (len(self._levels) - 1)
+            self._levels.append(joined(held[:-width], held[width:]))
+        return self._levels[j]
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self._sums[ends] - self._sums[starts]) * self._down[starts]
-        return mix(raw + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        n = ends - starts
+        out = np.zeros(len(n), U64)
+        j = 0
+        while n.max(initial=0) >= 1 << j:
+            some = np.flatnonzero((n >= 1 << j) & (n < 2 << j))
+            if len(some):
+                held = self._level(j)
+                out[some] = joined(held[starts[some]], held[ends[some] - (1 << j)])
+            j += 1
+        return _sized(out, n)
 
     def grams(self, k: int) -> np.ndarray:
         """The digest of every k consecutive values."""
-        raw = self._sums[k:] - self._sums[:-k]
-        raw *= self._down[: len(raw)]
-        return mix(raw + U64((k * 0xD6E8FEB86659FD93) % (1 << 64)))
-
-
-def of_bytes(data: np.ndarray) -> Rolling:
-    return Rolling(_BYTE[data])
+        n = max(0, len(self._levels[0]) - k + 1)
+        if not n:
+            return np.empty(0, U64)
+        j = k.bit_length() - 1
+        held = self._level(j)
+        return _sized(joined(held[:n], held[k - (1 << j) : k - (1 << j) + n]), k)
 
 
 def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

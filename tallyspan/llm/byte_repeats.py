@@ -38,7 +38,7 @@ def anchors(window: int, gram: int):
         for first, _, data, offsets in A.pieces(batch.column(1)):
             if len(data) < window:
                 continue
-            grams = A.of_bytes(data).grams(gram)
+            grams = A.byte_grams(data, gram)
             doc, begin, last, anchor = A.winnow(grams, offsets, window, gram)
             if len(doc):
                 start = offsets[doc]
@@ -98,7 +98,7 @@ def sort_shard(window: int):
         firsts = firsts[wide[of[firsts]]]
         if len(firsts):
             h, part = rows.column("h").to_numpy().view(np.uint64)[of[firsts]], rows.column("part").to_numpy()[of[firsts]]
-            digest = A.of_bytes(data).spans(at[firsts], at[firsts] + window) ^ A.mix(h)
+            digest = A.byte_spans(data, at[firsts], at[firsts] + window) ^ A.mix(h)
             shard = (A.mix(h) ^ part.astype(np.uint64)).view(np.int64)
             out.append(R.found(doc[firsts], start[firsts], start[firsts], shard, digest))
         return pa.concat_tables(out)

@@ -15,11 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._base import pick, table
+from ._base import pick, stage, table
 
 #: Rows of each language that the model is fitted on, about; a documented bound, by hash of the id.
 SAMPLE_PER_LANGUAGE = 2000
@@ -96,14 +97,13 @@ def _word_texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 
 def _slots(text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n: the slot of every n-gram of bytes that lies inside a word, and the word."""
-    rolling = A.of_bytes(text)
     word = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     room = offsets[1:][word] - np.arange(len(text))
     for n in GRAMS:
         if len(text) < n:
             continue
         fits = np.flatnonzero(room[: len(text) - n + 1] >= n)
-        yield (rolling.grams(n)[fits] & np.uint64(SLOTS - 1)).astype(np.int32), word[fits]
+        yield (A.byte_grams(text, n)[fits] & np.uint64(SLOTS - 1)).astype(np.int32), word[fits]
 
 
 def code_points(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def script_of(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _unique_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    digest = A.of_bytes(data).spans(starts, ends)
+    digest = A.byte_spans(data, starts, ends)
     _, index, inverse = np.unique(digest, return_index=True, return_inverse=True)
     text, offsets = _word_texts(data, starts[index], ends[index])
     return text, offsets, inverse
@@ -180,16 +180,32 @@ def _counts(index: dict[str, int]):
                 np.add.at(scripts, (mine, script_of(text, cut)), 1)
                 for slots, word in _slots(text, cut):
                     grams += np.bincount(mine[word] * SLOTS + slots, minlength=len(index) * SLOTS).reshape(grams.shape)
-        names = list(index)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([g.astype(np.float32).tobytes() for g in grams]), pa.array([s.tobytes() for s in scripts])], names=["lang", "grams", "scripts"])
+        names = [x for x, i in index.items() if scripts[i].any()]
+        task = [TaskContext.get().partitionId()] * len(names)
+        held = [[v[index[x]].tobytes() for x in names] for v in (grams, scripts)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(task, pa.int64()), *[pa.array(v, pa.binary()) for v in held]], names=["lang", "task", "grams", "scripts"])
 
     return run
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    grams = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows.column("grams").to_pylist())
-    scripts = sum(np.frombuffer(x) for x in rows.column("scripts").to_pylist())
-    return pa.table([rows.column("lang").slice(0, 1), pa.array([grams.astype(np.float32).tobytes()]), pa.array([scripts.tobytes()])], names=["lang", "grams", "scripts"])
+    held = [sum(np.frombuffer(x) for x in rows.column(c).to_pylist()).tobytes() for c in ("grams", "scripts")]
+    return pa.table([rows.column("lang").slice(0, 1), rows.column("task").slice(0, 1), *[pa.array([x], pa.binary()) for x in held]], names=["lang", "task", "grams", "scripts"])
+
+
+COUNTED = "lang string, task bigint, grams binary, scripts binary"
+#: Tables of counts that one task adds up.
+FAN = 32
+
+
+def _totals(counted: DataFrame) -> DataFrame:
+    """One row for each language: the tasks' tables are added as a tree, so no task holds more than FAN."""
+    held = stage(counted, "gram-counts")
+    wide = (held.agg(F.max("task")).first()[0] or 0) + 1
+    while wide > 1:
+        held = stage(held.withColumn("task", F.floor(F.col("task") / F.lit(FAN)).cast("bigint")).groupBy("lang", "task").applyInArrow(_summed, COUNTED), "gram-counts")
+        wide = -(-wide // FAN)
+    return held
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
@@ -209,10 +225,9 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_language
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = docs.where(uniform < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("text", "lang")
-    counted = chosen.mapInArrow(_counts(index), "lang string, grams binary, scripts binary")
-    rows = {r["lang"]: r for r in counted.groupBy("lang").applyInArrow(_summed, "lang string, grams binary, scripts binary").collect()}  # a table of fixed size for each language
-    blank = {"grams": np.zeros(SLOTS, np.float32).tobytes(), "scripts": np.zeros(len(SCRIPTS)).tobytes()}
-    grams = np.array([np.frombuffer((rows.get(x) or blank)["grams"], np.float32) for x in index], np.float64)
+    rows = {r["lang"]: r for r in _totals(chosen.mapInArrow(_counts(index), COUNTED)).collect()}  # a table of fixed size for each language
+    blank = {"grams": np.zeros(SLOTS).tobytes(), "scripts": np.zeros(len(SCRIPTS)).tobytes()}
+    grams = np.array([np.frombuffer((rows.get(x) or blank)["grams"]) for x in index])
     scripts = np.array([np.frombuffer((rows.get(x) or blank)["scripts"]) for x in index])
     return Model(list(index), grams, scripts)
 
@@ -327,7 +342,9 @@ def remainder(n: int):
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """Documents whose language is known for at least ``least`` of their letters, in the columns of documents.
 
-    The predicted language replaces a null one; a given one stays.
+    The predicted language replaces a null one; a given one stays.  Null and
+    empty texts, and those without letters, have none and go; rows that repeat
+    stay or go together, with or without an id.
     """
     whole = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     texts = whole.select("text", "lang", "source", "n_chars", F.col("doc_id").cast("bigint").alias("doc_id"))
@@ -354,5 +371,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row without an id is never learned from, so it counts as held out."""
     docs = table(spark, sf_dir, "documents")
     model = train(pick(docs, "doc_id", "text", "lang").where(remainder(5) != 0))
-    found = label(docs, model, with_spans=False)
-    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
+    found = label(docs, model)
+    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score", "spans")

@@ -47,13 +47,13 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray,
     for first, last, data, offsets in A.pieces(texts):
         data = A.LOWER[data]
         starts, ends, of = A.words(data, offsets)
-        rolling = A.Rolling(A.of_bytes(data).spans(starts, ends))
+        of_words = A.byte_spans(data, starts, ends)
         n = np.diff(of)
         count = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
         doc = np.repeat(np.arange(len(n)), count)
         within = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         begin = of[doc] + within
-        values = rolling.spans(begin, np.minimum(begin + width, of[doc + 1]))
+        values = _shingles(of_words, begin, np.minimum(begin + width, of[doc + 1]), width)
         order = np.lexsort((values, doc))
         doc, values = doc[order], values[order]
         new = np.append(True, (doc[1:] != doc[:-1]) | (values[1:] != values[:-1]))[: len(doc)]
@@ -61,6 +61,18 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray,
         yield first, np.searchsorted(doc, np.arange(last - first + 1)), values
 
 
+def _shingles(of_words: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """The digest of each run of up to ``width`` words."""
+    out = A.mix((end - begin).astype(np.uint64))
+    for j in range(width):
+        here = np.flatnonzero(begin + j < end)
+        if len(here) == len(out):
+            out = A.joined(out, of_words[begin + j])
+        else:
+            out[here] = A.joined(out[here], of_words[begin[here] + j])
+    return out
+
+
 def signatures(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Minima then maxima of every nonempty set under each permutation, one row per set."""
     full = offsets[:-1][np.diff(offsets) > 0]

@@ -37,7 +37,7 @@ def _sequences(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     """The words of runs of documents: the first and last document, the offsets of each one's words, and the words' digests."""
     for first, last, data, offsets in A.pieces(texts):
         starts, ends, of = A.words(data, offsets)
-        yield first, last, of, A.of_bytes(data).spans(starts, ends)
+        yield first, last, of, A.byte_spans(data, starts, ends)
 
 
 def seeds(window: int, seed: int):
@@ -46,7 +46,7 @@ def seeds(window: int, seed: int):
         for first, _, of, digests in _sequences(batch.column(1)):
             if of[-1] < window:
                 continue
-            grams = A.Rolling(digests).grams(seed)
+            grams = A.Digests(digests).grams(seed)
             doc, begin, last, anchor = A.winnow(grams, of, window, seed)
             if len(doc):
                 start = of[doc]
@@ -86,11 +86,11 @@ def extended(words: np.ndarray, seat: np.ndarray, least: np.ndarray, most: np.nd
     one way or the other.  A place whose match has no other drops out, unless
     ``stay`` says that others stand elsewhere.
     """
-    rolling = A.Rolling(words)
+    digests = A.Digests(words)
     place = np.arange(len(seat))
     low, high = np.zeros(len(seat), np.int64), np.full(len(seat), rest)
     while True:
-        key = rolling.spans(seat[place] - low, seat[place] + seed + rest - high) ^ A.mix((low * (rest + 1) + high + 1).astype(np.uint64))
+        key = digests.spans(seat[place] - low, seat[place] + seed + rest - high) ^ A.mix((low * (rest + 1) + high + 1).astype(np.uint64))
         keep = (R.twins(key) | stay[place]) & (np.maximum(low, least[place]) <= np.minimum(high, most[place]))
         place, low, high, key = place[keep], low[keep], high[keep], key[keep]
         ranges = low < high

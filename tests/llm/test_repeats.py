@@ -117,7 +117,7 @@ def test_every_window_has_one_anchor_of_its_own_content():
 
     texts = [t or "" for t in corpus(3)]
     for _, _, data, offsets in A.pieces(pa.array(texts)):
-        grams = A.of_bytes(data).grams(8)
+        grams = A.byte_grams(data, 8)
         doc, first, last, anchor = A.winnow(grams, offsets, 30, 8)
         seen, by_text = set(), {}
         for d, a, b, at in zip(doc, first, last, anchor, strict=True):
