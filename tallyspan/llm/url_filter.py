@@ -10,6 +10,8 @@ threshold is blocked as a whole.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,9 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DAMPING, ROUNDS, TOLERANCE = 0.85, 60, 1e-6
+DAMPING = 0.85
+#: The part of all trust, or of all distrust, below which a host's own counts as none; what rounds still may change is less than its tenth.
+FLOOR = 1e-9
 #: The share of a host's trust and distrust that distrust must exceed.
 BLOCK_OVER = 0.5
 
@@ -76,13 +80,18 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rounds_for(damping: float, floor: float) -> int:
+    """After this many rounds all that scores can still change is under a tenth of ``floor``: each round leaves ``damping`` of the rest."""
+    return math.ceil(math.log(floor / 20) / math.log(damping))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, floor: float = FLOOR) -> DataFrame:
     """host, score: personalised PageRank of ``seeds`` (host, seed) along ``edges`` (src, dst, w); scores sum to the seeds.
 
     A host passes ``damping`` of its score on, divided by weight.  The rest,
     and all that hosts without links hold, returns to the seeds.  Stops when
-    the scores change by less than ``tolerance`` of their sum, or after
-    ``rounds``.
+    what the scores may still change is less than a tenth of ``floor`` of their
+    sum, and gives those of at least ``floor``.
     """
     out = edges.groupBy("src").agg(F.sum("w").alias("all"))
     steps = stage(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("part")), "link-steps")
@@ -90,7 +99,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     seeds = stage(seeds.where("seed > 0").select("host", F.col("seed").alias("score")), "link-seeds")
     mass = seeds.agg(F.sum("score")).first()[0] or 0.0  # one number
     scores, last = stage(seeds, "link-scores"), None
-    for _ in range(rounds if mass else 0):
+    for _ in range(rounds_for(damping, floor) if mass else 0):
         held = scores.join(sources, "host", "left_semi").agg(F.sum("score")).first()[0] or 0.0  # one number
         # Sums combine before the shuffle, so a host that all others link to gets one row from each task.
         sent = scores.join(steps, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
@@ -99,9 +108,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         last, scores = scores, stage(fresh, "link-scores")
         change = scores.unionByName(last.select("host", (-F.col("score")).alias("score"))).groupBy("host").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).first()[0]
         drop(last)
-        if (change or 0.0) <= tolerance * mass:
+        if (change or 0.0) <= (1 - damping) * floor / 10 * mass:
             break
-    return scores
+    return scores.where(F.col("score") >= floor * mass)
 
 
 def judge_urls(pages: DataFrame, rules=RULES, block_over: float = BLOCK_OVER, damping: float = DAMPING) -> DataFrame:
@@ -109,7 +118,7 @@ def judge_urls(pages: DataFrame, rules=RULES, block_over: float = BLOCK_OVER, da
 
     ``verdict`` is the longest fitting rule's, else ``block`` where the host's
     distrust is more than ``block_over`` of its trust and distrust together,
-    else ``allow``.  A host that no seed reaches is allowed.  A null url, or
+    else ``allow``; scores under FLOOR of all are none.  A host that no seed reaches is allowed.  A null url, or
     one without ``://``, has empty host and path, which no rule fits and no
     link reaches.  A null html has no links.  Rows that repeat are judged alike
     (and count as often as seeds); other columns are left out.
@@ -177,9 +186,10 @@ WITH RECURSIVE placed AS (
       SELECT f.r, f.kind, sum(CASE WHEN o.src IS NULL THEN 0 ELSE f.score END) AS held
       FROM flow f LEFT JOIN sources o ON f.kind = o.kind AND f.host = o.src GROUP BY f.r, f.kind
     ) h ON h.kind = s.kind
-  ) WHERE r < {ROUNDS} GROUP BY r, kind, host
+  ) WHERE r < {rounds_for(DAMPING, FLOOR)} GROUP BY r, kind, host
 ), scores AS (
-  SELECT host, sum(score) FILTER (kind = 'allow') AS trust, sum(score) FILTER (kind = 'block') AS distrust FROM flow WHERE r = {ROUNDS} GROUP BY host
+  SELECT host, sum(score) FILTER (kind = 'allow') AS trust, sum(score) FILTER (kind = 'block') AS distrust FROM flow JOIN masses USING (kind)
+  WHERE r = {rounds_for(DAMPING, FLOOR)} AND score >= {FLOOR} * mass GROUP BY host
 )
 SELECT page_id, j.host, path, rule, coalesce(verdict,
   CASE WHEN coalesce(distrust, 0) > {BLOCK_OVER} * (coalesce(trust, 0) + coalesce(distrust, 0)) THEN 'block' ELSE 'allow' END) AS verdict
