@@ -61,14 +61,12 @@ def lookups(held: DataFrame, counts: DataFrame, window: int) -> DataFrame:
 
     A window of one word has no second term.  Windows that share both share a row.
     """
-    tokens = held.select("item", F.posexplode("phrase").alias("place", "term")).join(counts, "term")
-    ranked = tokens.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("place", "n", "term"))).alias("ts"))
-    ranked = ranked.join(held.groupBy("item").agg(F.max(F.size("phrase")).alias("longest")), "item")
-    starts = F.sequence(F.lit(0), F.greatest(F.col("longest") - window, F.lit(0)))
-    cut = ranked.select("item", "ts", F.explode(starts).alias("s"))
-    inside = F.filter("ts", lambda t: (t["place"] >= F.col("s")) & (t["place"] < F.col("s") + window))
-    by_rarity = F.array_sort(F.transform(inside, lambda t: F.struct(t["n"].alias("n"), t["term"].alias("term"), t["place"].alias("place"))))
-    best = cut.select("item", by_rarity.alias("b"))
+    size = F.col("size")
+    tokens = held.select("item", F.size("phrase").alias("size"), F.posexplode("phrase").alias("place", "term")).join(counts, "term")
+    # Every token goes to the windows that hold it, so a row never holds more than a window, however long the item.
+    starts = F.sequence(F.greatest(F.col("place") - window + 1, F.lit(0)), F.least(F.col("place"), F.greatest(size - window, F.lit(0))))
+    each = tokens.select("item", F.struct("n", "term", "place").alias("t"), F.explode(starts).alias("s"))
+    best = each.groupBy("item", "s").agg(F.slice(F.array_sort(F.collect_list("t")), 1, 2).alias("b"))
     second = F.try_element_at("b", F.lit(2))
     return best.select("item", F.col("b")[0]["term"].alias("rare"), F.col("b")[0]["place"].alias("at"), second["term"].alias("next"), second["place"].alias("next_at")).distinct()
 
@@ -93,16 +91,10 @@ def _hits(text_words: Column, phrase: Column, shift: Column, window: int) -> Col
     """The word positions that whole windows of one aligned phrase cover."""
     size = F.least(F.lit(window), F.size(phrase))
     same = F.transform(phrase, lambda w, j: F.coalesce((shift + j >= 0) & (F.get(text_words, shift + j) == w), F.lit(False)))
-    # Each step adds one word to the run of equal words; a run as long as a window covers its last `size` words.
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("j"), F.array().cast("array<int>").alias("ends"))
-
-    def step(held: Column, equal: Column) -> Column:
-        run = F.when(equal, held["run"] + 1).otherwise(F.lit(0))
-        ends = F.when(run >= size, F.concat(held["ends"], F.array(held["j"]))).otherwise(held["ends"])
-        return F.struct(run.alias("run"), (held["j"] + 1).alias("j"), ends.alias("ends"))
-
-    ends = F.aggregate(same, start, step, lambda held: held["ends"])
-    return F.flatten(F.transform(ends, lambda e: F.sequence((shift + e - size + 1).cast("int"), (shift + e).cast("int"))))
+    # As a variable, the comparison is made once for all windows.
+    starts = lambda held: F.filter(F.sequence(F.lit(0), F.size(phrase) - size), lambda s: F.forall(F.slice(held, s + 1, size), lambda x: x))
+    found = F.flatten(F.transform(F.array(same), starts))
+    return F.flatten(F.transform(found, lambda s: F.sequence((shift + s).cast("int"), (shift + s + size - 1).cast("int"))))
 
 
 def indexed(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -189,7 +181,11 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = S
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no window of an item occurs, in the columns of documents."""
+    """The documents in which no window of an item occurs, in the columns of documents.
+
+    Null, empty and wordless texts stay; rows of equal id and text stay or go
+    together, other rows of an id, or without one, are judged by themselves.
+    """
     whole = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     gone = contaminated(docs, items, window).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"))
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL))
