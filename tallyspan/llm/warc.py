@@ -57,7 +57,7 @@ def write_captures(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     them.  A null html is an empty payload.  A null url leaves the target
     header out, and line ends in a url are percent-encoded.  A null page_id is
     never the smallest, save where a payload has no other.  Rows that repeat
-    page_id and payload are all responses.
+    page_id and payload are all responses, each a capture of its own.
     """
     pages = pick(pages, "page_id", "url", "html")
     body = F.coalesce(F.col("html"), F.lit(""))
@@ -70,14 +70,18 @@ def write_captures(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     )
     # Every payload is digested once, and copies meet as digests; only then does each page's html move, once, by its own id.
     # ``mark`` only tells apart rows that repeat an id.
-    hexed = stage(pages.select("page_id", "mark", "n_bytes", F.sha1(F.col("html").cast("binary")).alias("hexed")).distinct(), "warc-digests")
-    small = stage(hexed.select("page_id", "mark", "n_bytes", base32_of(F.col("hexed")).alias("digest")), "warc-letters")
+    each = pages.select("page_id", "mark", "n_bytes", F.sha1(F.col("html").cast("binary")).alias("hexed"))
+    hexed = stage(each.groupBy("page_id", "mark", "n_bytes", "hexed").agg(F.count(F.lit(1)).alias("copies")), "warc-digests")
+    small = stage(hexed.select("page_id", "mark", "n_bytes", "copies", base32_of(F.col("hexed")).alias("digest")), "warc-letters")
     first = small.where(F.col("n_bytes") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    decided = small.join(first, "digest", "left").select(F.col("page_id").alias("_id"), F.col("mark").alias("_mark"), "digest", "first_id")
+    decided = small.join(first, "digest", "left").select(F.col("page_id").alias("_id"), F.col("mark").alias("_mark"), "digest", "first_id", "copies")
     keyed = pages.join(decided, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    # Rows that repeat id and payload are told apart by their place; a revisit then finds them by the digest, as its profile says.
+    keyed = keyed.withColumn("_place", F.monotonically_increasing_id())
+    own = F.when(F.col("copies") > 1, F.col("_place").cast("string"))
     original = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
-    key = lambda page, kind: _urn(F.coalesce(page.cast("string"), F.lit("null")), F.col("digest"), F.lit(kind))
-    main = key(F.col("page_id"), "response")
+    key = lambda page, kind, *more: _urn(F.coalesce(page.cast("string"), F.lit("null")), F.col("digest"), F.lit(kind), *more)
+    main = key(F.col("page_id"), "response", own)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n_bytes").cast("string"), F.lit("\r\n\r\n"))
     target, date = ("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(DATE))
     answered = _record(
@@ -94,11 +98,11 @@ def write_captures(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
         F.when(original, F.concat(http, F.col("html"))).otherwise(http),
     )
     asked = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", key(F.col("page_id"), "request")), date, target, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http;msgtype=request"))],
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", key(F.col("page_id"), "request", own)), date, target, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http;msgtype=request"))],
         F.concat(F.lit("GET "), F.coalesce("url", F.lit("-")), F.lit(" HTTP/1.1\r\n\r\n")),
     )
     about = _record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", key(F.col("page_id"), "metadata")), date, target, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))],
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", key(F.col("page_id"), "metadata", own)), date, target, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")),
     )
     rows = keyed.select(F.concat_ws(SEPARATOR, asked, answered, about).alias("value"))
@@ -227,7 +231,8 @@ def assemble(records: DataFrame) -> DataFrame:
     Request and metadata records join the response or revisit that their
     WARC-Concurrent-To names; a link may also point the other way, or go by
     way of a request.  Records that no capture claims are left out of the
-    result; captures without a request or metadata have empty arrays.
+    result, as are those without an id; captures without a request or metadata
+    have empty arrays.  Captures that share a record id share what names it.
     """
     main = F.col("record_type").isin("response", "revisit", "resource")
     mains, others = records.where(main), records.where(~main & F.col("record_id").isNotNull())
@@ -254,9 +259,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = captures.select("capture_id", page.alias("page_id"), "answer.*")
     rows = rows.select("capture_id", "page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").alias("_to"))
     rows = stage(rows, "warc-captures")
-    pages = rows.where("record_type = 'response'").select(F.col("capture_id").alias("_capture"), F.col("page_id").alias("refers_to")).distinct()
-    out = rows.join(pages, F.col("_to") == F.col("_capture"), "left")
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    responses = rows.where("record_type = 'response'")
+    pages = responses.select(F.col("capture_id").alias("_capture"), F.col("page_id").alias("_page")).distinct()
+    by_digest = responses.groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("page_id").alias("_least"))
+    out = rows.join(pages, F.col("_to") == F.col("_capture"), "left").join(by_digest, F.col("_to").isNotNull() & (F.col("payload_digest") == F.col("_digest")), "left")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.coalesce("_page", "_least").alias("refers_to"))
 
 
 SQL = f"""
