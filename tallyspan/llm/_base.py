@@ -43,6 +43,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset, and this cluster's machines share no local folder")
         root = held.get() if held.isDefined() else LOCAL_SCRATCH
     return root.rstrip("/")
 
@@ -89,12 +91,14 @@ def drop(df: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame, default: int = 1 << 20) -> int:
-    """The optimizer's estimate of the input's bytes on disk; used to choose counts of buckets, never to choose results."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # a plan without statistics
-        return default
-    return size if 0 < size < 1 << 50 else default
+    """Bytes on disk of the tables that ``df`` reads, by the optimizer's statistics; used to choose counts of buckets, never to choose results.
+
+    Tables are added up, as a join's own estimate is a product.  One of
+    unknown size, as local rows are, counts as ``default``.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size if 0 < size < 1 << 62 else default for size in sizes) or default
 
 
 def buckets(df: DataFrame, bytes_each: int) -> int:
