@@ -15,11 +15,20 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 
+def _shared(spark) -> str:
+    """The folder that the cluster shares, from the session's or the context's settings; a local session has one of its own."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if told:
+        return told
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset, and this cluster's machines share no local folder")
+    return LOCAL_SCRATCH
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again; it goes when the driver's JVM ends."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    where = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
+    where = f"{_shared(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.parquet(where)
@@ -74,19 +83,70 @@ def route(edges: DataFrame, start: DataFrame, goal: DataFrame, src: str = "src",
     return seen.join(goal.select(F.col(goal.columns[0]).alias("at")).distinct(), "at").select("start", F.col("at").alias("goal"), "path")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component: nodes of links with the least node they reach; labels spread over links and jump over labels."""
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
-    both = staged(both)
-    labels = staged(both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
-    while True:
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        met = labels.join(near, labels["node"] == near["u"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        after = staged(met.join(jump, met["label"] == jump["_n"], "left").select("node", F.least("label", F.coalesce("_l", "label")).alias("label"), "was"))
-        labels = after.select("node", "label")
-        if after.where("label <> was").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+def _forest(batches):
+    """The links of each batch as links of its own nodes to the least that they reach there; a batch is bounded."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        ends = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
+        nodes, index = np.unique(np.concatenate(ends), return_inverse=True)
+        parent = np.arange(len(nodes))
+        x, y = index[: len(ends[0])], index[len(ends[0]) :]
+        while len(x):
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            np.minimum.at(parent, high, low)  # each node hangs below its least neighbour, then below that one's own root
+            while not (parent[parent] == parent).all():
+                parent = parent[parent]
+            x, y = parent[x], parent[y]
+            apart = x != y
+            x, y = x[apart], y[apart]
+        below = np.flatnonzero(parent != np.arange(len(nodes)))
+        kinds = [f.type for f in batch.schema]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[below], kinds[0]), pa.array(nodes[parent[below]], kinds[1])], names=["u", "v"])
+
+
+def _towards_least(edges: DataFrame, whole: bool) -> DataFrame:
+    """One star step on edges u > v.  The large star (``whole``) hangs each node's greater neighbours below the least of its neighbours
+    and itself; the small star hangs its lesser neighbours, and itself, below the least of those."""
+    turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    near = edges.unionByName(turned) if whole else edges
+    # Minima combine before the shuffle, so the neighbours of a hub don't gather.
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+    moved = (turned if whole else edges).join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not whole:
+        moved = moved.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v")))
+    return moved.where("u <> v").distinct()
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", told: list[int] | None = None) -> DataFrame:
+    """node, component: nodes of links with the least node they reach.
+
+    Large and small stars alternate until every node hangs below its least one;
+    what a batch holds is contracted before.  Rounds grow with the logarithm of
+    the longest chain, and edges never outgrow the links.  Links with a null
+    end are left out; a node linked with itself alone is its own component.
+    The number of rounds is appended to ``told``.
+    """
+    ends = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    kind = ends.schema["u"].dataType.simpleString()
+    ends = ends.select("u", F.col("v").cast(kind).alias("v"))
+    proper = ends.where("u <> v").mapInArrow(_forest, f"u {kind}, v {kind}")
+    edges = staged(proper.distinct())
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())  # noqa: E731  two numbers
+    now, rounds = mark(edges), 0
+    while now[0]:
+        rounds += 1
+        after = staged(_towards_least(_towards_least(edges, True), False))
+        before, now, edges = now, mark(after), after
+        if now == before:
+            break
+    if told is not None:
+        told.append(rounds)
+    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    lone = ends.where("u = v").select(F.col("u").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+    return found.unionByName(lone.select("node", F.col("node").alias("component")))
 
 
 def one_caller(calls: DataFrame, caller: str = "caller", callee: str = "callee") -> DataFrame:

@@ -78,87 +78,87 @@ def renamed_alike(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFram
     return pairs.select(*keys).distinct().join(one(a, b).unionByName(one(b, a)).distinct(), keys, "left_anti")
 
 
-def _longest(rows):
-    """Within one group of starts: how far each run stands elsewhere, at how many places, and whether all those begin differently before it."""
-    import bisect
+def _standing_twice(places: DataFrame) -> DataFrame:
+    """Of places (k, p, c, left) those whose ``c`` occurs at two or more; counts combine before the shuffle."""
+    return places.join(places.groupBy("c").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("c"), "c", "left_semi").select("k", "p", "c", "left")
 
-    import numpy as np
-    import pyarrow as pa
-
-    tails = rows.column("tail").to_pylist()
-    order = sorted(range(len(tails)), key=tails.__getitem__)
-    arrays = [np.frombuffer(tails[i], np.uint64) for i in order]
-    n = len(order)
-    shared = [0] * (n + 1)  # between each start and the one before it in order
-    for x in range(1, n):
-        a, b = arrays[x - 1], arrays[x]
-        m = min(len(a), len(b))
-        differ = np.flatnonzero(a[:m] != b[:m])
-        shared[x] = int(differ[0]) if len(differ) else m
-    reach = [max(shared[x], shared[x + 1]) for x in range(n)]
-
-    def ends(values: list[int], wanted: list[int]) -> list[int]:
-        """For each place the first one down from which all shared lengths are at least what is wanted."""
-        held: list[tuple[int, int]] = []  # places and their values, increasing
-        out = []
-        for x in range(len(wanted)):
-            while held and held[-1][1] >= values[x]:
-                held.pop()
-            held.append((x, values[x]))
-            at = bisect.bisect_left([v for _, v in held], wanted[x]) if len(held) < 64 else _search(held, wanted[x])
-            out.append(held[at - 1][0] if at else 0)
-        return out
-
-    low = ends(shared[:n], reach)
-    high = [n - 1 - x for x in ends(shared[n:0:-1], reach[::-1])][::-1]
-    left = rows.column("left").to_pylist()
-    places: dict = {}
-    for x, i in enumerate(order):
-        places.setdefault(left[i], []).append(x)
-    keep, lines, sites = [], [], []
-    for x, i in enumerate(order):
-        same = places[left[i]]
-        alone = left[i] is None or bisect.bisect_right(same, high[x]) - bisect.bisect_left(same, low[x]) == 1
-        if alone and reach[x]:
-            keep.append(i)
-            lines.append(reach[x])
-            sites.append(high[x] - low[x] + 1)
-    picked = rows.select(["k", "i"]).take(pa.array(keep, pa.int64()))
-    return picked.append_column("lines", pa.array(lines, pa.int32())).append_column("sites", pa.array(sites, pa.int64()))
-
-
-def _search(held: list[tuple[int, int]], wanted: int) -> int:
-    low, high = 0, len(held)
-    while low < high:
-        mid = (low + high) // 2
-        if held[mid][1] < wanted:
-            low = mid + 1
-        else:
-            high = mid
-    return low
+
+def _blocks(lines: DataFrame) -> list[DataFrame]:
+    """For blocks of 1, 2, 4 ... lines: the places whose block stands elsewhere too, with a name (c) that equal blocks share.
+
+    A block's name comes from those of its halves, the second found by a join
+    at its place; blocks that stand once drop out, as longer ones would.
+    """
+    levels = [staged(_standing_twice(lines))]
+    while True:
+        half, held = 1 << (len(levels) - 1), levels[-1]
+        second = held.select("k", (F.col("p") - half).alias("p"), F.col("c").alias("_d"))
+        whole = held.join(second, ["k", "p"]).select("k", "p", F.xxhash64("c", "_d").alias("c"), "left")
+        longer = staged(_standing_twice(whole))
+        if longer.isEmpty():
+            return levels
+        levels.append(longer)
+
+
+def _asking(levels: list[DataFrame], j: int) -> DataFrame:
+    """Places (state, size, asks) that share a block of level j with a place whose run ends before twice that block.
+
+    No run begins where all places of its block follow the same line: a longer
+    one holds it.  So copies of whole files ask at their first line alone.
+    """
+    held = levels[j]
+    ends = held.join(levels[j + 1].select("k", "p"), ["k", "p"], "left_anti") if j + 1 < len(levels) else held
+    before = held.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count("left").alias("m"), F.min("left").alias("lo"), F.max("left").alias("hi"))
+    asked = ends.join(before.where("m < n or lo <> hi").select("c"), "c", "left_semi").select("k", "p", F.lit(True).alias("_asks"))
+    marked = held.join(asked, ["k", "p"], "left").select("k", "p", "left", F.col("c").alias("state"), F.lit(1 << j).alias("size"), F.coalesce("_asks", F.lit(False)).alias("asks"))
+    return _where_asked(marked)
+
+
+def _where_asked(places: DataFrame) -> DataFrame:
+    return places.join(places.groupBy("state").agg(F.max("asks").alias("_any")).where("_any").select("state"), "state", "left_semi")
 
 
 def repeated_runs(rows: DataFrame, key: str, line: str, symbol: Column, least: int = 3) -> DataFrame:
     """key, first, lines, sites: the longest run from each place that stands elsewhere too, if it can't begin earlier.
 
-    A run has at least ``least`` lines.  ``sites`` counts the places where it
-    stands, this one included; it is left out where another site of it has the
-    same line before.  Starts meet by their first ``least`` lines; starts that
-    all follow the same line are dropped before any text moves, as a longer run
-    holds theirs, so copies of whole files cost one start each.
+    A run has at least ``least`` lines, of consecutive numbers.  ``sites``
+    counts the places where it stands, this one included; it is left out where
+    another site of it has the same line before.  Null keys, line numbers and
+    symbols are no lines; of rows that share a place any one may count.
+
+    Prefix doubling names all blocks of 1, 2, 4 ... lines that stand twice.  A
+    place's run is at least its longest such block and less than two of them;
+    from there half steps go down to one line, each kept if what they reach
+    stands twice.  Places that can't take a step stay for the shorter ones,
+    together with all that share their block, while any of them asks.  All
+    are equi-joins and counts, so no text moves and no run gathers its places.
     """
-    texts = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(line).alias("i"), F.xxhash64(symbol).alias("h")))).alias("_ls"))
-    texts = staged(texts.select(F.col(key).alias("k"), F.transform("_ls", lambda x: x["h"]).alias("hs"), F.get(F.col("_ls"), F.lit(0))["i"].alias("base")).where(F.size("hs") >= least))
-    starts = texts.select("k", "hs", F.explode(F.sequence(F.lit(0), F.size("hs") - least)).alias("p"))
-    starts = staged(starts.select("k", "p", F.xxhash64(F.slice("hs", F.col("p") + 1, least)).alias("g"), F.get("hs", F.col("p") - 1).alias("left")))
-    groups = starts.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count("left").alias("m"), F.min("left").alias("lo"), F.max("left").alias("hi"))
-    open_groups = groups.where("n > 1 and (m < n or lo <> hi)").select("g")
-    tail = F.array_join(F.transform(F.slice("hs", F.col("p") + 1, F.size("hs")), lambda h: F.lpad(F.hex(h), 16, "0")), "")
-    held = starts.join(open_groups, "g", "left_semi").join(texts, "k")
-    held = held.select("g", "k", (F.col("p") + F.col("base")).alias("i"), F.unhex(tail).alias("tail"), "left")
+    lines = rows.select(F.col(key).alias("k"), F.col(line).cast("int").alias("p"), symbol.alias("_s")).where("k is not null and p is not null and _s is not null")
+    lines = lines.select("k", "p", F.xxhash64("_s").alias("c")).dropDuplicates(["k", "p"])
+    order = Window.partitionBy("k").orderBy("p")
+    lines = lines.withColumn("left", F.when(F.lag("p").over(order) == F.col("p") - 1, F.lag("c").over(order)))
+    levels = _blocks(staged(lines))
+    open_places = None
+    for j in range(len(levels) - 1, -1, -1):
+        if open_places is not None:  # a step of the block of level j
+            further = levels[j].select("k", F.col("p").alias("_at"), F.col("c").alias("_d"))
+            reached = open_places.withColumn("_at", F.col("p") + F.col("size")).join(further, ["k", "_at"], "left")
+            reached = staged(reached.select("k", "p", "left", "state", "size", "asks", F.when(F.col("_d").isNotNull(), F.xxhash64("state", "_d")).alias("_e")))
+            twice = reached.where("_e is not null").groupBy("_e").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_e", F.lit(True).alias("_goes"))
+            went = reached.join(twice, "_e", "left").withColumn("_goes", F.coalesce("_goes", F.lit(False)))
+            stay = went.select("k", "p", "left", "state", "size", (F.col("asks") & ~F.col("_goes")).alias("asks"))
+            go = went.where("_goes").select("k", "p", "left", F.col("_e").alias("state"), (F.col("size") + (1 << j)).alias("size"), "asks")
+            open_places = staged(_where_asked(stay.unionByName(go)))
+        if 2 << j > least:
+            fresh = _asking(levels, j)
+            open_places = staged(fresh if open_places is None else open_places.unionByName(fresh.select(open_places.columns)))
     kind = rows.schema[key].dataType.simpleString()
-    found = held.groupBy("g").applyInArrow(lambda t: _longest(t), f"k {kind}, i int, lines int, sites bigint")
-    return found.select(F.col("k").alias(key), F.col("i").alias("first"), "lines", "sites")
+    if open_places is None:
+        return rows.sparkSession.createDataFrame([], f"{key} {kind}, first int, lines int, sites bigint")
+    sites = open_places.groupBy("state").agg(F.count(F.lit(1)).alias("sites"))
+    alike = open_places.where("left is not null").groupBy("state", "left").agg(F.count(F.lit(1)).alias("_alike"))
+    asked = open_places.where((F.col("asks")) & (F.col("size") >= least)).join(sites, "state").join(alike, ["state", "left"], "left")
+    return asked.where("left is null or _alike = 1").select(F.col("k").alias(key), F.col("p").alias("first"), F.col("size").alias("lines"), "sites")
 
 
 def lines_saved(lines: Column, sites: Column, kind: Column) -> Column:
