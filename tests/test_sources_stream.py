@@ -80,22 +80,6 @@ def test_the_journal_as_a_stream(spark, tmp_path):
     assert got == sorted(WANT, key=repr)
 
 
-def test_a_silent_instance_becomes_overdue(spark, tmp_path):
-    import time
-
-    events = [("q", 0, 0, "header", None, None, None), ("q", 1, 1, "begin", None, 4, 1500)]
-    spark.createDataFrame(events, journal.SCHEMA).coalesce(1).write.json(f"{tmp_path}/in")
-    out = journal.watch(spark.readStream.schema(journal.SCHEMA).json(f"{tmp_path}/in"), wake=True)
-    q = out.writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
-    try:
-        end = time.time() + 90
-        while time.time() < end and not spark.table("silent").count():
-            time.sleep(0.5)
-    finally:
-        q.stop()
-    assert [tuple(r) for r in spark.table("silent").collect()] == [("q", 1, "overdue", "4")]
-
-
 def test_the_journal_in_batch(spark, rows):
     df = spark.createDataFrame([(i, *e) for i, e in enumerate(EVENTS[:-1])], "arrived int, " + journal.SCHEMA)
     assert rows(journal.sequence_errors(df)) == [("b", 2, "gap in sequence")]
