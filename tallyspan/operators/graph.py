@@ -161,91 +161,137 @@ def fixed_point(start: DataFrame, edges: DataFrame, node: str, src: str, dst: st
     return reachable(backwards, start.select(F.col(node).alias("node"))).select(F.col("node").alias(node))
 
 
-def _dominators(rows):
-    """Immediate dominators of one graph, and each node's weight with all that it dominates; graphs are of one file.
-
-    A node's set of dominators is itself and what all that lead to it have in
-    common; sets are integers with a bit for each node, and shrink until they
-    stand still.  The immediate dominator is the one whose own set is the
-    node's without the node.
+def _preorder(after: list[list[int]]) -> tuple[list[int], list[int]]:
+    """Nodes in the order in which a depth-first walk from node 0 meets them, and for each the place of the one it came from."""
+    order, origin, place = [], [], {}
+    stack = [(0, 0)]
+    while stack:
+        node, came = stack.pop()
+        if node in place:
+            continue
+        place[node] = len(order)
+        order.append(node)
+        origin.append(came)
+        stack += [(x, place[node]) for x in reversed(after[node]) if x not in place]
+    return order, origin
+
+
+def immediate_dominators(after: list[list[int]]) -> tuple[list[int], list[int]]:
+    """For a graph given as each node's successors: the nodes that node 0 reaches, in preorder, and the place of each one's immediate dominator there.
+
+    Semi-dominators from the last node to the first, over paths that compress
+    as they are walked; then each immediate dominator is the nearest node above
+    that comes no later than the semi-dominator.
     """
-    import pandas as pd
-
-    names = sorted({x for c in ("src", "dst") for x in rows[c] if x is not None and x == x}, key=str)
-    number = {x: i for i, x in enumerate(names)}
-    into, onward, weight = [0] * len(names), [0] * len(names), [0] * len(names)
-    for r in rows.itertuples():
-        i = number[r.src]
-        if r.dst is None or r.dst != r.dst:
-            weight[i] = r.weight
-        elif r.dst != r.src:
-            into[number[r.dst]] |= 1 << i
-            onward[i] |= 1 << number[r.dst]
-
-    def bits(held: int):
-        while held:
-            low = held & -held
-            yield low.bit_length() - 1
-            held ^= low
-
-    def with_all_after(held: int) -> int:
-        fresh = held
-        while fresh:
-            step = 0
-            for i in bits(fresh):
-                step |= onward[i]
-            fresh = step & ~held
-            held |= step
-        return held
-
-    entered = sum(1 << i for i, before in enumerate(into) if not before)
-    reached = with_all_after(entered)
-    for i in range(len(names)):  # a cycle that nothing enters is entered at its first node
-        if not reached >> i & 1:
-            entered |= 1 << i
-            reached |= with_all_after(1 << i)
-    every = (1 << len(names)) - 1
-    doms = [1 << i if entered >> i & 1 else every for i in range(len(names))]
-    pending = every & ~entered
-    while pending:
-        again = 0
-        for i in bits(pending):
-            common = every
-            for p in bits(into[i]):
-                common &= doms[p]
-            if common | 1 << i != doms[i]:
-                doms[i] = common | 1 << i
-                again |= onward[i] & ~entered
-        pending = again
-    holder = {held: i for i, held in enumerate(doms)}
-    total = [0] * len(names)
-    for i, held in enumerate(doms):
-        for d in bits(held):
-            total[d] += weight[i]
-    above = [holder.get(held & ~(1 << i)) for i, held in enumerate(doms)]
-    graph = rows["graph"].iloc[0]
-    found = [(graph, x, None if above[i] is None else names[above[i]], int(total[i])) for i, x in enumerate(names)]
-    return pd.DataFrame(found, columns=["graph", "node", "idom", "total"])
+    order, origin = _preorder(after)
+    n = len(order)
+    place = {x: i for i, x in enumerate(order)}
+    before: list[list[int]] = [[] for _ in range(n)]
+    for i, x in enumerate(order):
+        for y in after[x]:
+            before[place[y]].append(i)
+    semi, best, above = list(range(n)), list(range(n)), list(origin)
+
+    def least_on_path(v: int, done: int) -> int:
+        """Of the nodes from v up that are done (beyond ``done``), the one with the least semi-dominator; v itself if it isn't."""
+        if v <= done:
+            return v
+        path = [v]
+        while above[path[-1]] > done:
+            path.append(above[path[-1]])
+        top = path.pop()
+        for u in reversed(path):
+            if semi[best[above[u]]] < semi[best[u]]:
+                best[u] = best[above[u]]
+            above[u] = above[top]
+        return best[v]
+
+    for w in range(n - 1, 0, -1):
+        semi[w] = min([origin[w], *[semi[least_on_path(v, w)] for v in before[w]]])
+    idom = list(origin)
+    for w in range(1, n):
+        at = origin[w]
+        while at > semi[w]:
+            at = idom[at]
+        idom[w] = at
+    return order, idom
+
+
+def _dominated(least: int | None, names):
+    """An applyInArrow function over one graph's nodes and edges, in any order: every node's dominator, sums and whether it is a part."""
+
+    def run(rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        graph = rows.column("graph")[0].as_py()
+        facts = {r["src"]: r for r in rows.filter(pc.is_null(rows.column("dst"))).to_pylist()}
+        # In one order whatever the rows' order; ends of edges that are no nodes weigh nothing.
+        edges = [(r["src"], r["dst"]) for r in rows.filter(pc.is_valid(rows.column("dst"))).select(["src", "dst"]).to_pylist()]
+        nodes = sorted({*facts, *[x for e in edges for x in e]})
+        number = {x: i for i, x in enumerate(nodes, 1)}
+        fact = lambda x, name, default: default if x not in facts or facts[x][name] is None else facts[x][name]
+        after: list[list[int]] = [[] for _ in range(len(nodes) + 1)]
+        entered = set(range(1, len(nodes) + 1))
+        for a, b in sorted((number[a], number[b]) for a, b in edges if a != b):
+            after[a].append(b)
+            entered.discard(b)
+        told = [number[x] for x in nodes if fact(x, "entered", False)]
+        after[0] = sorted(told or entered)
+        met = set(_preorder(after)[0])
+        after[0] = sorted({*after[0], *(i for i in range(1, len(nodes) + 1) if i not in met)})
+        order, idom = immediate_dominators(after)
+        total, items = ([0, *[fact(x, name, default) for x in nodes]] for name, default in (("weight", 0), ("items", 1)))
+        total, items = ([v[x] for x in order] for v in (total, items))
+        for w in range(len(order) - 1, 0, -1):
+            total[idom[w]] += total[w]
+            items[idom[w]] += items[w]
+        out: list[list] = [[] for _ in range(6)]
+        taken = [False] * len(order)
+        for w in range(1, len(order)):
+            name = nodes[order[w] - 1]
+            movable = least is not None and not fact(name, "pinned", False) and items[w] >= 2 and total[w] >= least and total[0] - total[w] >= least
+            part = movable and not taken[idom[w]]
+            taken[w] = movable or taken[idom[w]]
+            for column, value in zip(out, (graph, name, None if idom[w] == 0 else nodes[order[idom[w]] - 1], total[w], items[w], part), strict=True):
+                column.append(value)
+        kinds = [rows.schema.field("graph").type, rows.schema.field("src").type, rows.schema.field("src").type, pa.int64(), pa.int64(), pa.bool_()]
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+    return run
+
+
+def _judged(nodes: DataFrame, edges: DataFrame, least: int | None) -> DataFrame:
+    kind, graph = nodes.schema["node"].dataType, nodes.schema["graph"].dataType
+    have = set(nodes.columns)
+    fact = lambda name, as_, default: (F.col(name) if name in have else F.lit(default)).cast(as_).alias(name)
+    rows = nodes.where("node is not null").select("graph", F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"), fact("weight", "bigint", 0), fact("items", "bigint", 1), fact("entered", "boolean", None), fact("pinned", "boolean", None))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("weight", "bigint"), ("items", "bigint"), ("entered", "boolean"), ("pinned", "boolean"))]
+    steps = edges.where("src is not null and dst is not null").select("graph", F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst")).distinct()
+    rows = rows.unionByName(steps.select("graph", "src", "dst", *none))
+    names = ["graph", "node", "idom", "total", "items", "part"]
+    schema = f"graph {graph.simpleString()}, node {kind.simpleString()}, idom {kind.simpleString()}, total bigint, items bigint, part boolean"
+    return rows.groupBy("graph").applyInArrow(_dominated(least, names), schema)
 
 
 def dominators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """graph, node, idom, total: each node's immediate dominator (null at the outside) and its weight with all it dominates.
 
-    ``nodes`` is graph, node, weight; ``edges`` is graph, src, dst.  A graph is
-    one file's items, small by nature and judged in one task; nodes that no
-    edge enters are entered from outside.
+    ``nodes`` is graph, node, weight, and if known ``entered``: the nodes that
+    the outside reaches; without any such, those that no edge enters.  ``edges``
+    is graph, src, dst.  Nodes that the outside doesn't reach so get an edge
+    from it, every one of them.  A graph is one file's items, judged in one
+    task in time that grows nearly with its edges.  Rows with null nodes or
+    ends are left out; edges that repeat count once.
     """
-    from pyspark.sql import types as T
+    return _judged(nodes, edges, None).select("graph", "node", "idom", "total")
 
-    kind = nodes.schema["node"].dataType
-    schema = T.StructType([T.StructField("graph", nodes.schema["graph"].dataType), T.StructField("node", kind), T.StructField("idom", kind), T.StructField("total", T.LongType())])
-    rows = nodes.select("graph", F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"), F.col("weight").cast("bigint").alias("weight"))
-    rows = rows.unionByName(edges.distinct().select("graph", "src", "dst", F.lit(0).cast("bigint").alias("weight")))
-    return rows.groupBy("graph").applyInPandas(_dominators, schema)
 
+def largest_parts(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
+    """graph, node, total, items: the parts that could move as a whole, with what they hold, that no larger such part holds.
 
-def largest_parts(dominated: DataFrame, least: int) -> DataFrame:
-    """graph, node, total: parts of at least ``least`` that no larger part dominates."""
-    big = dominated.where(F.col("total") >= least)
-    above = dominated.where(F.col("idom").isNotNull()).select("graph", F.col("node").alias("src"), F.col("idom").alias("dst"))
-    return big.join(above.join(big.select("graph", F.col("node").alias("dst")), ["graph", "dst"]).select("graph", F.col("src").alias("node")), ["graph", "node"], "left_anti").select("graph", "node", "total")
+    A part is a node with all it dominates.  It may move if the node isn't
+    ``pinned``, it holds two items (``items`` of nodes, 1 where not given) and a
+    weight of ``least``, and the graph keeps as much besides.
+    """
+    return _judged(nodes, edges, least).where("part").select("graph", "node", "total", "items")
