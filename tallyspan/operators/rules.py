@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .patterns import phrases_in, shapes_in
 from .sequences import lines
 
 
@@ -17,21 +18,12 @@ def phrase_hits(rows: DataFrame, key: str, rules: list[dict], path: str | None =
     A rule has ``text``, ``word`` (whole words, else anywhere) and, where keys
     are paths, ``in`` and ``except`` globs.
     """
-    flags = []
-    for r in rules:
-        hit = T.whole_word(F.col("text"), r["text"]) if r.get("word") else T.anywhere(F.col("text"), r["text"])
-        if path:
-            hit = hit & T.in_scope(F.col(path), r.get("in", []), r.get("except", []))
-        flags.append(F.when(hit, F.lit(r["text"])))
-    found = rows.select(key, F.explode(F.filter(F.array(*flags), lambda x: x.isNotNull())).alias("phrase"))
-    return found.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("n"))
+    return phrases_in(rows, key, rules, path=path).groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 def shape_hits(df: DataFrame, key: str, text: str, shapes: list[dict]) -> DataFrame:
     """key, name, n: words of each text that have a credential's shape (``name``, ``prefix``, ``tail``, ``documented``)."""
-    named = lambda words, name: F.transform(words, lambda x: F.lit(name))
-    found = [named(T.shape(F.col(text), s["prefix"], s["tail"], s.get("documented", ())), s["name"]) for s in shapes]
-    return df.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(*found)).alias("name")).groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"))
+    return shapes_in(df, key, text, shapes).groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def hidden_characters(df: DataFrame, key: str, text: str) -> DataFrame:

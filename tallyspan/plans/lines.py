@@ -115,6 +115,19 @@ def phrase_hits_any(read):
     return rules.phrase_hits(sequences.lines(read("documents"), "doc_id", "text"), "doc_id", [{"text": x} for x in ("the", ".co", "licen")])
 
 
+@query(f"""
+WITH {_LINES}, p AS (SELECT DISTINCT p_name AS phrase FROM part UNION SELECT DISTINCT lower(c_mktsegment) FROM customer UNION SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) > 3 AND regexp_full_match(w, '[a-z]+')
+), w AS (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, lower(text) AS t FROM lines)
+SELECT doc_id, phrase, count(*) AS n FROM (SELECT DISTINCT doc_id, line, phrase FROM w JOIN p ON word = phrase WHERE regexp_matches(t, '{_B}' || phrase || '{_A}')) GROUP BY ALL
+""")
+def phrase_hits_many(read):
+    """Lines of documents that hold any word of the benchmark, part name or market segment: one automaton for all of them."""
+    words = read("benchmark").select(F.explode(F.split("text", " ")).alias("w")).where("length(w) > 3 and w rlike '^[a-z]+$'")
+    every = words.unionByName(read("part").select(F.col("p_name").alias("w"))).unionByName(read("customer").select(F.lower("c_mktsegment").alias("w"))).distinct()
+    listed = [{"text": r["w"], "word": True} for r in every.orderBy("w").collect()]  # the rules, a list by nature
+    return rules.phrase_hits(sequences.lines(read("documents"), "doc_id", "text"), "doc_id", listed)
+
+
 @query(r"""
 WITH p AS (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages)
 SELECT page_id, path FROM p WHERE (regexp_matches(path, '^(?:[^/]+/)*en/[^/]*$') OR regexp_matches(path, '^[^/]*\.example\.org/(?:.*)$')) AND NOT regexp_matches(path, '^(?:[^/]+/)*[^/]*9[^/]*$')
