@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import declared as D
 from ..operators import measures as M
 from ..operators import ratchet as R
 from ..operators import reports as P
 from ..operators import sequences, similar
+from ..operators import versions as V
 from . import query
 from .ratchets import _HALVES, _PARTS, _halves, _parts, _policies
 
@@ -309,3 +311,46 @@ SELECT l_orderkey FROM r GROUP BY l_orderkey HAVING bool_and(nxt IS NULL OR nxt
 def tandem_runs(read):
     """Orders each of whose lines begins where the one before ended."""
     return similar.tandem(read("lineitem").withColumn("one", F.lit(1)), "l_orderkey", "l_linenumber", "one")
+
+
+@query("""
+WITH v AS (SELECT user_id, event_id AS revision, CASE WHEN value < 20 THEN NULL ELSE event_type || ' ' || value END AS text FROM events WHERE event_type IN ('purchase', 'signup'))
+, asked AS (SELECT user_id, event_id AS revision FROM events WHERE event_type NOT IN ('purchase', 'signup'))
+SELECT a.user_id, a.revision, v.revision AS version, v.text FROM asked a ASOF LEFT JOIN v ON a.user_id = v.user_id AND a.revision >= v.revision
+""")
+def text_at_revision(read):
+    """The latest purchase or sign-up of its user at each other event; small ones stand for deletions."""
+    events = read("events").select("user_id", F.col("event_id").alias("revision"), "event_type", "value")
+    kept = F.col("event_type").isin("purchase", "signup")
+    text = F.when(~(F.col("value") < 20), F.concat(F.col("event_type"), F.lit(" "), F.col("value").cast("string")))
+    return V.text_at(events.where(kept).withColumn("text", text), events.where(~kept), "user_id")
+
+
+@query("""
+SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.5), 4) AS median FROM lineitem GROUP BY l_suppkey
+UNION ALL SELECT NULL, round(quantile_cont(l_extendedprice, 0.5), 4) FROM lineitem
+""")
+def exact_medians(read):
+    """The median price of each supplier's line items, and of all as one hot group."""
+    rows = read("lineitem").select("l_suppkey", "l_extendedprice")
+    both = rows.unionByName(rows.withColumn("l_suppkey", F.lit(None).cast(rows.schema["l_suppkey"].dataType)))
+    return P.medians(both, "l_suppkey", "l_extendedprice").withColumn("median", F.round("median", 4))
+
+
+# The commands: every event, its properties what it printed; some codes say that it could not check.
+@query("""
+WITH r AS (SELECT event_type || ' ' || event_id AS name, CASE WHEN event_id % 11 = 0 THEN 3 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS code, event_type <> 'click' AS counts,
+  CASE WHEN event_id % 13 = 0 THEN 'no object' WHEN value > 300 THEN '{"many": 100001}' ELSE props END AS said FROM events)
+SELECT name, CASE WHEN code = 3 THEN 'cannot run' WHEN NOT counts THEN CASE code WHEN 0 THEN 'passed' ELSE 'failed' END WHEN code <> 0 THEN 'cannot run' WHEN said = 'no object' OR said LIKE '%100001%' THEN 'refused' ELSE 'counted' END AS status,
+  CASE WHEN code = 0 AND counts AND said <> 'no object' AND said NOT LIKE '%100001%' THEN 'k' END AS key, CASE WHEN code = 0 AND counts AND said <> 'no object' AND said NOT LIKE '%100001%' THEN (said->>'k')::BIGINT END AS value,
+  CASE WHEN code = 3 THEN name || ' could not check (exit code 3)' WHEN NOT counts THEN CASE code WHEN 0 THEN NULL ELSE name || ' failed with exit code 1' END WHEN code <> 0 THEN name || ' did not count'
+    WHEN said = 'no object' THEN name || ' printed no object of counts' WHEN said LIKE '%100001%' THEN name || ' counted more than 100000' END AS why
+FROM r
+""")
+def judged_commands(read):
+    """What each declared command comes to, through a table function in SQL."""
+    id, kind = F.col("event_id"), F.col("event_type")
+    code = F.when(id % 11 == 0, 3).when(id % 7 == 0, 1).otherwise(0)
+    said = F.when(id % 13 == 0, "no object").when(F.col("value") > 300, '{"many": 100001}').otherwise(F.col("props"))
+    runs = read("events").select(F.concat(kind, F.lit(" "), id.cast("string")).alias("name"), code.alias("code"), said.alias("said"), (kind != "click").alias("counts"), F.array(F.lit(3)).alias("cannot_run"), F.lit(False).alias("truncated"))
+    return D.judge_commands(runs)

@@ -58,7 +58,7 @@ def test_sinks(spark, rows, tmp_path):
     path = f"file://{tmp_path}/out"
     for n in (1, 2):
         sinks.replace_table(spark.range(n).coalesce(1), path)
-    assert spark.read.parquet(path).count() == 2
+    assert sinks.read_table(spark, path).count() == 2
     found = spark.createDataFrame([("g", "f", i, f"m{i:02}") for i in range(12)], "gate string, file string, line int, message string")
     assert sorted(r[3] for r in rows(sinks.annotations(found)))[:1] == ["and 2 more"]
 
