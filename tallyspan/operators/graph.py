@@ -54,21 +54,6 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "
         seen = seen.unionByName(frontier)
 
 
-def reachable_pairs(edges: DataFrame, src: str = "src", dst: str = "dst", skip_direct: bool = False) -> DataFrame:
-    """src, dst: every pair that a path joins (one step at least); without the pairs that are edges, if asked."""
-    direct = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
-    held = fresh = staged(direct)
-    while not fresh.isEmpty():  # only pairs that the last round found grow by one more edge
-        step = fresh.select("src", F.col("dst").alias("_m")).join(direct.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
-        fresh = staged(step.join(held, ["src", "dst"], "left_anti"))
-        held = held.unionByName(fresh)
-    if not skip_direct:
-        return held
-    # A pair counts without its own edge if some other first step leads there too.
-    first = direct.select("src", F.col("dst").alias("_m")).join(held.select(F.col("src").alias("_m"), "dst"), "_m").where("_m <> dst")
-    return first.select("src", "dst").distinct()
-
-
 def route(edges: DataFrame, start: DataFrame, goal: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """start, goal, path: a shortest path from each start to each goal it reaches; of several the first in order of names."""
     seen = frontier = staged(start.select(F.col(start.columns[0]).alias("start")).distinct().select("start", F.col("start").alias("at"), F.array("start").alias("path")))

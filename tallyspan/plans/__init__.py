@@ -28,4 +28,4 @@ def query(sql: str | None, name: str | None = None):
 
 
 def load() -> None:
-    from . import graphs, joins, lines, ratchets, records, reports, similar  # noqa: F401
+    from . import graphs, joins, lines, ratchets, readers, records, reports, similar  # noqa: F401
