@@ -73,7 +73,7 @@ def _lines(spark, texts):
     return spark.createDataFrame([(k, p + 1, x) for k, ls in texts.items() for p, x in enumerate(ls)], "k bigint, i int, x string")
 
 
-@pytest.mark.parametrize(("seed", "least"), [(0, 3), (1, 3), (2, 2), (3, 4), (4, 1)])
+@pytest.mark.parametrize(("seed", "least"), [(0, 3), (2, 2), (4, 1)])
 def test_runs_against_brute_force(spark, rows, seed, least):
     rng = random.Random(seed)
     base = [rng.choice("abcdefgh") for _ in range(40)]
