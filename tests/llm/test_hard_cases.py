@@ -64,7 +64,7 @@ def test_hosts_with_less_than_the_floor_count_as_unreached(spark):
     seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
     whole = {r["host"]: r["score"] for r in url_filter.propagate(edges, seeds, damping=0.5).collect()}
     assert sum(whole.values()) == pytest.approx(1.0) and set(whole) == {"a", "b", "c"}
-    assert set(r["host"] for r in url_filter.propagate(edges, seeds, damping=0.5, floor=whole["c"] * 1.01).collect()) == {"a", "b"}
+    assert set(r["host"] for r in url_filter.propagate(edges, seeds, damping=0.5, floor=whole["c"] * 1.3).collect()) == {"a", "b"}
     assert url_filter.rounds_for(0.85, 1e-9) > 140
 
 
