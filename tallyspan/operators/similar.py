@@ -148,13 +148,14 @@ def repeated_runs(rows: DataFrame, key: str, line: str, symbol: Column, least: i
             went = reached.join(twice, "_e", "left").withColumn("_goes", F.coalesce("_goes", F.lit(False)))
             stay = went.select("k", "p", "left", "state", "size", (F.col("asks") & ~F.col("_goes")).alias("asks"))
             go = went.where("_goes").select("k", "p", "left", F.col("_e").alias("state"), (F.col("size") + (1 << j)).alias("size"), "asks")
-            open_places = staged(_where_asked(stay.unionByName(go)))
+            open_places = _where_asked(stay.unionByName(go))
         if 2 << j > least:
             fresh = _asking(levels, j)
-            open_places = staged(fresh if open_places is None else open_places.unionByName(fresh.select(open_places.columns)))
+            open_places = fresh if open_places is None else open_places.unionByName(fresh.select(open_places.columns))
     kind = rows.schema[key].dataType.simpleString()
     if open_places is None:
         return rows.sparkSession.createDataFrame([], f"{key} {kind}, first int, lines int, sites bigint")
+    open_places = staged(open_places)
     sites = open_places.groupBy("state").agg(F.count(F.lit(1)).alias("sites"))
     alike = open_places.where("left is not null").groupBy("state", "left").agg(F.count(F.lit(1)).alias("_alike"))
     asked = open_places.where((F.col("asks")) & (F.col("size") >= least)).join(sites, "state").join(alike, ["state", "left"], "left")
