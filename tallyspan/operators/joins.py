@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def shared_by(rows: DataFrame, value: str, holder: str, least: int = 2) -> DataFrame:
     """value, holder, n, holders: uses of a value that at least ``least`` holders share."""
@@ -60,19 +62,14 @@ def deepest_owner(paths: DataFrame, homes: DataFrame, path: str = "path", home:
 
 def zip_within(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
     """keys, rn, l, r: the rows of equal groups paired in order, only where both groups are of one size."""
-
-    def ranked(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(*keys)
-        return df.select(*keys, F.col(order).alias(name), F.row_number().over(w.orderBy(order)).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
-
-    return ranked(left, "l").join(ranked(right, "r"), [*keys, "rn", "n"]).drop("n")
+    side = lambda df, name: ranked(df.select(*keys, F.col(order).alias(name)), keys, [F.asc(name)], "rn", "n")
+    return side(left, "l").join(side(right, "r"), [*keys, "rn", "n"]).select(*keys, F.col("rn").cast("int").alias("rn"), "l", "r")
 
 
 def worst_with_worst(left: DataFrame, right: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
     """keys, rn, l, r: the rows of equal groups paired from the highest score down; rows beyond the smaller group stay alone (null)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), F.asc(tie))
-    ranked = lambda df, name: df.select(*keys, F.col(score).alias(name), F.row_number().over(w).alias("rn"))
-    return ranked(left, "l").join(ranked(right, "r"), [*keys, "rn"], "full_outer")
+    side = lambda df, name: ranked(df.select(*keys, F.col(score).alias(name), F.col(tie).alias("_by")), keys, [F.desc(name), F.asc("_by")]).drop("_by")
+    return side(left, "l").join(side(right, "r"), [*keys, "rn"], "full_outer").withColumn("rn", F.col("rn").cast("int"))
 
 
 def within(left: DataFrame, right: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import version
+from .ranks import ranked
 
 
 def series(rows: DataFrame, measure: str, key: Column, value: Column | None = None, how: str = "count") -> DataFrame:
@@ -43,12 +44,11 @@ def counted_findings(rows: DataFrame, severity: str = "severity") -> DataFrame:
 
 def kth_excused(found: DataFrame, excused: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """Findings beyond the excuses given for their key, the first found excused first; and (keys, unused) excuses that meet none."""
-    w = Window.partitionBy(*keys).orderBy(order)
     given = excused.groupBy(*keys).agg(F.count(F.lit(1)).alias("_given"))
-    ranked = found.withColumn("_k", F.row_number().over(w)).join(given, keys, "left")
+    placed = ranked(found, keys, [F.asc(order)], "_k").join(given, keys, "left")
     met = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_met"))
     unused = given.join(met, keys, "left").select(*keys, (F.col("_given") - F.coalesce("_met", F.lit(0))).alias("unused")).where("unused > 0")
-    return ranked.where(F.col("_k") > F.coalesce("_given", F.lit(0))).drop("_k", "_given"), unused
+    return placed.where(F.col("_k") > F.coalesce("_given", F.lit(0))).drop("_k", "_given"), unused
 
 
 def movable_reference(uses: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def split_lines(text: Column) -> Column:
     """Lines for scans: a last line end starts no further line, and a carriage return before a line end is dropped."""
@@ -100,9 +102,9 @@ def multiset_delta(before: DataFrame, after: DataFrame, token: str) -> DataFrame
 
 def stride_groups(rows: DataFrame, key: str, order: str, largest: int = 32) -> DataFrame:
     """Rows with ``part``: every n-th row of a key to the same group, so that no group holds more than ``largest``."""
-    w = Window.partitionBy(key)
-    parts = F.ceil(F.count(F.lit(1)).over(w) / F.lit(largest))
-    return rows.withColumn("part", ((F.row_number().over(w.orderBy(order)) - 1) % parts).cast("bigint"))
+    placed = ranked(rows, [key], [F.asc(order)], "_place", "_all")
+    parts = F.ceil(F.col("_all") / F.lit(largest))
+    return placed.withColumn("part", ((F.col("_place") - 1) % parts).cast("bigint")).drop("_place", "_all")
 
 
 def group_time(rows: DataFrame, keys: list[str], seconds: str) -> DataFrame:

@@ -31,36 +31,87 @@ def size_bound(size: Column, other: Column, least: int = NEAR) -> Column:
     return (F.greatest(size, other) * least) <= (F.least(size, other) * (20000 - least))
 
 
-def near_pairs(df: DataFrame, key: str, tokens: Column, least: int = NEAR) -> DataFrame:
-    """a, b, bp: pairs (a < b) of multisets with a Dice coefficient of at least ``least``.
+def _prefixes(df: DataFrame, key: str, tokens: Column, least: int) -> tuple[DataFrame, DataFrame]:
+    """The multisets (k, t, c), and of each the tokens on which a near one must meet it (k, t, n), n being its size.
 
     Only a few tokens of each multiset can tell: in an order from rare to
     frequent, two multisets that reach the threshold share one of their first
-    n - ceil(n * least / (20000 - least)) + 1 occurrences.  Pairs meet on those
-    alone, and are then counted in full.
+    n - ceil(n * least / (20000 - least)) + 1 occurrences.
     """
-    sets = staged(df.select(key, F.explode(tokens).alias("t")).groupBy(key, "t").agg(F.count(F.lit(1)).alias("c")))
-    sizes = sets.groupBy(key).agg(F.sum("c").alias("n"))
+    sets = staged(df.select(F.col(key).alias("k"), F.explode(tokens).alias("t")).groupBy("k", "t").agg(F.count(F.lit(1)).alias("c")))
+    sizes = sets.groupBy("k").agg(F.sum("c").alias("n"))
     rare = sets.groupBy("t").agg(F.sum("c").alias("f"))
-    order = Window.partitionBy(key).orderBy("f", "t")
-    ranked = sets.join(rare, "t").join(sizes, key).withColumn("before", F.sum("c").over(order) - F.col("c"))
-    prefix = ranked.where(F.col("before") < F.col("n") - F.ceil(F.col("n") * least / F.lit(20000 - least)) + 1)
-    left = prefix.select(F.col(key).alias("a"), "t", F.col("n").alias("na"))
-    right = prefix.select(F.col(key).alias("b"), "t", F.col("n").alias("nb"))
-    met = left.join(right, "t").where((F.col("a") < F.col("b")) & size_bound(F.col("na"), F.col("nb"), least)).select("a", "b", "na", "nb").distinct()
-    x = sets.select(F.col(key).alias("a"), "t", F.col("c").alias("ca"))
-    y = sets.select(F.col(key).alias("b"), "t", F.col("c").alias("cb"))
+    order = Window.partitionBy("k").orderBy("f", "t")
+    placed = sets.join(rare, "t").join(sizes, "k").withColumn("before", F.sum("c").over(order) - F.col("c"))
+    return sets, placed.where(F.col("before") < F.col("n") - F.ceil(F.col("n") * least / F.lit(20000 - least)) + 1).select("k", "t", "n")
+
+
+def _scored(met: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Of candidates (a, b, na, nb) those that are near when counted in full, with ``bp``."""
+    x = sets.select(F.col("k").alias("a"), "t", F.col("c").alias("ca"))
+    y = sets.select(F.col("k").alias("b"), "t", F.col("c").alias("cb"))
     shared = met.join(x, "a").join(y, ["b", "t"]).groupBy("a", "b", "na", "nb").agg(F.sum(F.least("ca", "cb")).alias("s"))
     return shared.withColumn("bp", F.expr("(s * 20000) div (na + nb)")).where(F.col("bp") >= least).select("a", "b", "bp")
 
 
+def near_pairs(df: DataFrame, key: str, tokens: Column, least: int = NEAR) -> DataFrame:
+    """a, b, bp: pairs (a < b) of multisets with a Dice coefficient of at least ``least``.
+
+    Every pair is asked for, so a family of n near copies gives n squared; where
+    the families are enough, ``near_families`` doesn't list them.
+    """
+    sets, prefix = _prefixes(df, key, tokens, least)
+    left = prefix.select(F.col("k").alias("a"), "t", F.col("n").alias("na"))
+    right = prefix.select(F.col("k").alias("b"), "t", F.col("n").alias("nb"))
+    met = left.join(right, "t").where((F.col("a") < F.col("b")) & size_bound(F.col("na"), F.col("nb"), least)).select("a", "b", "na", "nb").distinct()
+    return _scored(met, sets, least)
+
+
+def _starred(prefix: DataFrame, least: int) -> DataFrame:
+    """Candidates (a, b, na, nb): each member of a token's bucket with its least member."""
+    hubs = prefix.groupBy("t").agg(F.min(F.struct("k", "n")).alias("h"))
+    met = prefix.join(hubs, "t").where("k > h.k").select(F.col("h.k").alias("a"), F.col("k").alias("b"), F.col("h.n").alias("na"), F.col("n").alias("nb"))
+    return met.where(size_bound(F.col("na"), F.col("nb"), least)).distinct()
+
+
+def _across(prefix: DataFrame, parts: DataFrame, least: int) -> DataFrame:
+    """Candidates that share a bucket and no component yet: the bucket's members outside its largest component with all others.
+
+    A bucket whose members are of one component gives none.
+    """
+    held = staged(prefix.join(parts.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("p", F.coalesce("component", "k")).drop("component"))
+    counts = held.groupBy("t", "p").agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.groupBy("t").agg(F.max_by("p", F.struct("_n", "p")).alias("_top"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1").select("t", "_top")
+    mixed = held.join(largest, "t")
+    rest = mixed.where("p <> _top").select("t", F.col("k").alias("_x"), F.col("n").alias("_nx"), F.col("p").alias("_px"))
+    met = rest.join(mixed.drop("_top"), "t").where((F.col("_px") != F.col("p")) & size_bound(F.col("_nx"), F.col("n"), least))
+    swap = F.col("_x") > F.col("k")
+    side = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    return met.select(side("_x", "k", "a"), side("k", "_x", "b"), side("_nx", "n", "na"), side("n", "_nx", "nb")).distinct()
+
+
+def linked(df: DataFrame, key: str, tokens: Column, least: int = NEAR) -> DataFrame:
+    """node, component: the multisets that have a near one, in their families by single linkage.
+
+    Stars first: in each token's bucket all are compared with the least member.
+    What that leaves in several components is then compared across them, so no
+    link that joins two families is lost, and a family of n near copies costs
+    n comparisons for each of its tokens where its hub is near to all of them.
+    """
+    sets, prefix = _prefixes(df, key, tokens, least)
+    prefix = staged(prefix)
+    stars = staged(_scored(_starred(prefix, least), sets, least).select("a", "b"))
+    more = staged(_scored(_across(prefix, components(stars), least), sets, least).select("a", "b"))
+    return components(stars.unionByName(more))
+
+
 def near_families(df: DataFrame, key: str, body: Column, tokens: Column, least: int = NEAR) -> DataFrame:
     """key, family, size: families of near copies by single linkage; copies of a body count, one of them is compared."""
     rows = df.select(key, F.sha2(body, 256).alias("_d"), tokens.alias("_t")).where("_d is not null")
     head = rows.groupBy("_d").agg(F.min(key).alias("_head"))
     members = staged(rows.select(key, "_d").join(head, "_d").select(key, "_head"))
     heads = rows.join(head, (rows["_d"] == head["_d"]) & (rows[key] == head["_head"])).select(F.col("_head").alias("k"), "_t")
-    parts = components(near_pairs(heads, "k", F.col("_t"), least).select("a", "b"))
+    parts = linked(heads, "k", F.col("_t"), least)
     named = members.join(parts, members["_head"] == parts["node"], "left").select(key, F.coalesce("component", "_head").alias("family"))
     sizes = named.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return named.join(sizes, "family").select(key, "family", "size")
