@@ -36,14 +36,14 @@ def _prefixes(df: DataFrame, key: str, tokens: Column, least: int) -> tuple[Data
 
     Only a few tokens of each multiset can tell: in an order from rare to
     frequent, two multisets that reach the threshold share one of their first
-    n - ceil(n * least / (20000 - least)) + 1 occurrences.
+    n - ceil(n * least / (20000 - least)) + 1 occurrences.  Tokens of one
+    multiset alone meet nothing, so only their count stays.
     """
     sets = staged(df.select(F.col(key).alias("k"), F.explode(tokens).alias("t")).groupBy("k", "t").agg(F.count(F.lit(1)).alias("c")))
-    sizes = sets.groupBy("k").agg(F.sum("c").alias("n"))
-    rare = sets.groupBy("t").agg(F.sum("c").alias("f"))
-    order = Window.partitionBy("k").orderBy("f", "t")
-    placed = sets.join(rare, "t").join(sizes, "k").withColumn("before", F.sum("c").over(order) - F.col("c"))
-    return sets, placed.where(F.col("before") < F.col("n") - F.ceil(F.col("n") * least / F.lit(20000 - least)) + 1).select("k", "t", "n")
+    rare = sets.groupBy("t").agg(F.sum("c").alias("f"), F.count(F.lit(1)).alias("m"))
+    own = Window.partitionBy("k")
+    placed = sets.join(rare, "t").withColumn("before", F.sum("c").over(own.orderBy("f", "t")) - F.col("c")).withColumn("n", F.sum("c").over(own))
+    return sets, placed.where("m > 1").where(F.col("before") < F.col("n") - F.ceil(F.col("n") * least / F.lit(20000 - least)) + 1).select("k", "t", "n")
 
 
 def _scored(met: DataFrame, sets: DataFrame, least: int) -> DataFrame:
