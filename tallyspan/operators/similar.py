@@ -169,13 +169,8 @@ def _where_asked(places: DataFrame) -> DataFrame:
     return places.join(places.groupBy("state").agg(F.max("asks").alias("_any")).where("_any").select("state"), "state", "left_semi")
 
 
-def repeated_runs(rows: DataFrame, key: str, line: str, symbol: Column, least: int = 3) -> DataFrame:
-    """key, first, lines, sites: the longest run from each place that stands elsewhere too, if it can't begin earlier.
-
-    A run has at least ``least`` lines, of consecutive numbers.  ``sites``
-    counts the places where it stands, this one included; it is left out where
-    another site of it has the same line before.  Null keys, line numbers and
-    symbols are no lines; of rows that share a place any one may count.
+def _run_places(rows: DataFrame, key: str, line: str, symbol: Column, least: int) -> DataFrame:
+    """k, p, left, state, size, asks: all places of runs, a run's places sharing its state; those that ask have it as their longest.
 
     Prefix doubling names all blocks of 1, 2, 4 ... lines that stand twice.  A
     place's run is at least its longest such block and less than two of them;
@@ -203,14 +198,36 @@ def repeated_runs(rows: DataFrame, key: str, line: str, symbol: Column, least: i
         if 2 << j > least:
             fresh = _asking(levels, j)
             open_places = fresh if open_places is None else open_places.unionByName(fresh.select(open_places.columns))
-    kind = rows.schema[key].dataType.simpleString()
     if open_places is None:
-        return rows.sparkSession.createDataFrame([], f"{key} {kind}, first int, lines int, sites bigint")
-    open_places = staged(open_places)
+        return rows.sparkSession.createDataFrame([], f"k {rows.schema[key].dataType.simpleString()}, p int, left bigint, state bigint, size int, asks boolean")
+    return staged(open_places)
+
+
+def _maximal(open_places: DataFrame, least: int) -> DataFrame:
+    """Places that ask for a run of ``least`` lines and more, if no other site of it has the same line before; with its number of ``sites``."""
     sites = open_places.groupBy("state").agg(F.count(F.lit(1)).alias("sites"))
     alike = open_places.where("left is not null").groupBy("state", "left").agg(F.count(F.lit(1)).alias("_alike"))
     asked = open_places.where((F.col("asks")) & (F.col("size") >= least)).join(sites, "state").join(alike, ["state", "left"], "left")
-    return asked.where("left is null or _alike = 1").select(F.col("k").alias(key), F.col("p").alias("first"), F.col("size").alias("lines"), "sites")
+    return asked.where("left is null or _alike = 1")
+
+
+def repeated_runs(rows: DataFrame, key: str, line: str, symbol: Column, least: int = 3) -> DataFrame:
+    """key, first, lines, sites: the longest run from each place that stands elsewhere too, if it can't begin earlier.
+
+    A run has at least ``least`` lines, of consecutive numbers.  ``sites``
+    counts the places where it stands, this one included; it is left out where
+    another site of it has the same line before.  Null keys, line numbers and
+    symbols are no lines; of rows that share a place any one may count.
+    """
+    found = _maximal(_run_places(rows, key, line, symbol, least), least)
+    return found.select(F.col("k").alias(key), F.col("p").alias("first"), F.col("size").alias("lines"), "sites")
+
+
+def run_sites(rows: DataFrame, key: str, line: str, symbol: Column, least: int = 3) -> DataFrame:
+    """run, key, first, lines: every site of each run that ``repeated_runs`` names at one place or more."""
+    places = _run_places(rows, key, line, symbol, least)
+    named = _maximal(places, least).select("state").distinct()
+    return places.join(named, "state", "left_semi").select(F.col("state").alias("run"), F.col("k").alias(key), F.col("p").alias("first"), F.col("size").alias("lines"))
 
 
 def lines_saved(lines: Column, sites: Column, kind: Column) -> Column:

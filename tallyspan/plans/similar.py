@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sequences
+from ..operators import lean, sequences
 from ..operators import similar as S
 from . import query
 
@@ -71,3 +71,10 @@ def repeated_runs(read):
     """Stretches of three and more lines that documents repeat."""
     rows = sequences.lines(read("documents"), "doc_id", "text")
     return S.repeated_runs(rows, "doc_id", "line", F.col("text"))
+
+
+@query(None)
+def lean_report(read):
+    """Lines that merging repeated stretches would remove from each document; the most saving merge first, none sharing a line."""
+    rows = sequences.lines(read("documents"), "doc_id", "text")
+    return lean.report(lean.merges(rows, "doc_id", "line", F.col("text")), "doc_id")
