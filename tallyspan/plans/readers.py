@@ -160,3 +160,54 @@ def renamed_trees(read):
     forms = trees.canonical(root.unionByName(sentences).unionByName(leaves))
     keys = ids.select("tree", "conv_id").distinct()
     return trees.copies(forms).join(keys, "tree").groupBy("conv_id").agg(F.max("value").alias("value"), F.max("nodes").alias("nodes"))
+
+
+# Users are targets; what they did, by type and line, are mutations, and the even and the odd events two tests.
+_RUNS = """
+WITH e AS (SELECT user_id AS t, event_type AS op, (event_id % 40)::INT AS ln, event_id % 2 AS odd, (floor(abs(coalesce(value, 0))) % 5)::INT AS c FROM events
+), m AS (SELECT t, op, ln, max(c) AS code, coalesce(max(CASE WHEN odd = 0 THEN c END), 0) AS c0, coalesce(max(CASE WHEN odd = 1 THEN c END), 0) AS c1 FROM e GROUP BY t, op, ln
+), s AS (SELECT 't' || t || 'e' AS test, op, ln, c0 AS c FROM m WHERE t % 17 <> 0 UNION ALL SELECT 't' || t || 'o', op, ln, c1 FROM m WHERE t % 17 <> 0)
+"""
+
+
+def _results(read):
+    from ..sources.results import Results
+
+    code = F.floor(F.abs(F.coalesce("value", F.lit(0)))) % 5
+    e = read("events").select(F.col("user_id").alias("t"), F.col("event_type").alias("op"), (F.col("event_id") % 40).cast("int").alias("ln"), (F.col("event_id") % 2).alias("odd"), code.cast("int").alias("c"))
+    of = lambda odd: F.coalesce(F.max(F.when(F.col("odd") == odd, F.col("c"))), F.lit(0))
+    m = e.groupBy("t", "op", "ln").agg(F.max("c").alias("code"), of(0).alias("c0"), of(1).alias("c1"))
+    m = m.withColumn("id", F.row_number().over(Window.partitionBy("t").orderBy("op", "ln")))
+    held = m.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("id", "op", "ln", "code", "c0", "c1"))).alias("ms"))
+    marks = lambda c: F.array_join(F.transform("ms", lambda x: F.substr(F.lit(".-TCD"), x[c] + 1, F.lit(1))), "")
+    span = lambda x: F.struct(F.concat(F.lit("src\\"), x["op"], F.lit(".rs")).alias("path"), F.array(x["ln"], F.lit(1)).alias("begin"), F.array(x["ln"], F.lit(9)).alias("end"))
+    mutations = F.to_json(F.struct(F.transform("ms", lambda x: F.struct(x["id"].alias("id"), x["op"].alias("operator"), F.lit("changed").alias("display_name"), span(x).alias("origin_span"))).alias("mutations")))
+    overall = F.when(F.col("t") % 17 == 0, F.substr(marks("code"), F.lit(2))).otherwise(marks("code"))
+    run = F.struct(F.struct(overall.alias("overall_detections"), F.array(marks("c0"), marks("c1")).alias("test_detections")).alias("mutation_detection_matrix"))
+    tests = F.transform(F.array(F.lit("e"), F.lit("o")), lambda x: F.struct(F.concat(F.lit("t"), _str("t"), x).alias("name")))
+    texts = held.select("t", mutations.alias("m"), F.to_json(F.struct(tests.alias("tests"), F.array(run).alias("mutation_runs"))).alias("e"))
+    return Results(texts, "t", "m", "e")
+
+
+@query(_RUNS + """
+, k AS (SELECT op, ln, max(code) AS code FROM m WHERE t % 17 <> 0 GROUP BY ALL), b AS (SELECT op, ln, string_agg(DISTINCT test, ',' ORDER BY test) AS killed_by FROM s WHERE c >= 3 GROUP BY ALL)
+SELECT 'src/' || op || '.rs' AS file, ln AS line, code, coalesce(killed_by, '') AS killed_by FROM k LEFT JOIN b USING (op, ln)
+""")
+def mutation_kills(read):
+    """Each mutation under the strongest verdict of all targets, with the tests that killed it; targets that don't line up are left out."""
+    return _results(read).kills().select("file", F.get("begin", F.lit(0)).alias("line"), "code", F.array_join("killed_by", ",").alias("killed_by"))
+
+
+@query(_RUNS + """
+, d AS (SELECT * FROM s WHERE c >= 2), one AS (SELECT op, ln FROM d GROUP BY ALL HAVING count(*) = 1)
+SELECT DISTINCT test FROM d WHERE test NOT IN (SELECT test FROM d JOIN one USING (op, ln))
+""")
+def idle_in_results(read):
+    """Tests of the same all of whose detections another test makes too."""
+    return _results(read).idle().select("test")
+
+
+@query("SELECT DISTINCT user_id AS target, 'verdicts don''t line up with mutations' AS error FROM events WHERE user_id % 17 = 0")
+def refused_results(read):
+    """Targets of the same whose verdicts don't line up with their mutations."""
+    return _results(read).refused
