@@ -114,6 +114,24 @@ def worst(judged: DataFrame) -> DataFrame:
     return judged.agg(F.coalesce(F.max("verdict"), F.lit(0)).alias("verdict"))
 
 
+def survey(now: DataFrame, policies: DataFrame) -> DataFrame:
+    """measure, unit, keys, total, worst: what each measure of the policy table counts, compared with no record; one without rows counts nothing."""
+    counted = now.groupBy("measure").agg(F.count(F.lit(1)).alias("keys"), F.sum("value").alias("total"), F.max("value").alias("worst"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return policies.select("measure", "unit").join(counted, "measure", "left").select("measure", "unit", zero("keys"), zero("total"), zero("worst"))
+
+
+def passing_and_off(judged: DataFrame, policies: DataFrame) -> DataFrame:
+    """measure: measures that are switched off though they would pass.
+
+    ``policies`` say of each measure whether it is ``enabled``, and whether it
+    is ``optional``; optional ones are a choice and never named.  A null of
+    either counts as false.
+    """
+    off = policies.where(~F.coalesce("enabled", F.lit(False)) & ~F.coalesce("optional", F.lit(False)))
+    return off.select("measure").distinct().join(judged.where("verdict = 0").select("measure"), "measure", "left_semi")
+
+
 def strict(now: DataFrame) -> DataFrame:
     """The record under which every value above zero is a finding."""
     return now.select("measure", "key", F.lit(0).cast("bigint").alias("value"))

@@ -194,3 +194,39 @@ def ratchet_verdict(read):
     """The verdict on the second half against the first."""
     now, was = _halves(read, "measures")
     return R.verdicts(now, was, _policies(now.sparkSession, "measures", "measures"))
+
+
+# Every event type is a measure of its own, counted by hour of the day; its limits come from the length of its name.
+_TYPES = f"""
+WITH n AS (SELECT event_type AS measure, extract(hour FROM ts) AS h, count(*) FILTER (ts >= TIMESTAMP '{CUT}') AS now, count(*) FILTER (ts < TIMESTAMP '{CUT}') AS was FROM events GROUP BY ALL)
+"""
+
+
+def _types(read):
+    events = read("events")
+    cut = F.lit(CUT).cast("timestamp_ntz")
+    half = lambda c: events.where(c).groupBy(F.col("event_type").alias("measure"), F.concat(F.lit("h"), F.hour("ts").cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("value"))
+    size = F.length("event_type").cast("bigint")
+    policies = events.select("event_type").distinct().select(
+        F.col("event_type").alias("measure"), F.lit("sizes").alias("policy"), (size * 1000).alias("basis_points"), (size * 3).alias("floor"), F.lit("event(s)").alias("unit"),
+        (F.col("event_type") == "error").alias("enabled"), (F.col("event_type") == "signup").alias("optional"))
+    return half(F.col("ts") >= cut), half(F.col("ts") < cut), policies
+
+
+@query(_TYPES + """
+SELECT measure, 'event(s)' AS unit, count(*) FILTER (now > 0) AS keys, sum(now)::BIGINT AS total, max(now) AS worst FROM n GROUP BY measure
+""")
+def survey(read):
+    """What each type of event counts in the second half, compared with nothing."""
+    now, _, policies = _types(read)
+    return R.survey(now, policies)
+
+
+@query(_TYPES + """
+, j AS (SELECT measure, count(*) FILTER (now > 0 AND (was = 0 OR now > was + greatest(was * length(measure) * 1000 // 10000, length(measure) * 3))) AS findings FROM n GROUP BY measure)
+SELECT measure FROM j WHERE findings = 0 AND measure NOT IN ('error', 'signup')
+""")
+def passing_and_off(read):
+    """Types of events that aren't watched though they would pass."""
+    now, was, policies = _types(read)
+    return R.passing_and_off(R.verdicts(now, was, policies), policies)
