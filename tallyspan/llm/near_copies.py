@@ -174,12 +174,18 @@ def best_partners(open_rows: DataFrame, sketches: DataFrame, percent: int) -> Da
     return rows.groupBy("key", "part").applyInArrow(_across(percent), "a bigint, b bigint").distinct()
 
 
+def _numbered(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets one after another, with small numbers for digests, and where each begins."""
+    of_set = np.append(0, np.cumsum([len(x) // 8 for x in packed], dtype=np.int64))
+    return np.unique(np.frombuffer(b"".join(packed), np.uint64), return_inverse=True)[1].astype(np.int32), of_set
+
+
 def _blocks(percent: int):
     """An applyInArrow function over a pair of blocks: links between components, by the full sets of documents that share a bucket."""
 
     def run(rows: pa.Table) -> pa.Table:
         node, n, part, block = (rows.column(c).to_numpy() for c in ("node", "n", "component", "block"))
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        flat, of_set = _numbered(rows.column("shingles").to_pylist())
         _, part = np.unique(part, return_inverse=True)
         keys = rows.column("keys").combine_chunks()
         owner = np.repeat(np.arange(len(node)), pa.compute.list_value_length(keys).to_numpy(zero_copy_only=False))
@@ -188,19 +194,32 @@ def _blocks(percent: int):
         key, owner = key[order], owner[order]
         bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        mine = [[] for _ in node]
+        mine: list[list[np.ndarray]] = [[] for _ in node]
         for o, k in zip(owner, of, strict=True):
             mine[o].append(owner[bounds[k] : bounds[k + 1]])
         one = rows.column("lo")[0].as_py() == rows.column("hi")[0].as_py()
         a, b = [], []
+        size = np.diff(of_set)
+        marked = np.zeros(int(flat.max()) + 1 if len(flat) else 0, bool)
         for i in range(len(node)):
-            near = np.unique(np.concatenate(mine[i]))
-            near = near[(near > i) & (part[near] != part[i])]
+            shares = np.zeros(len(node), bool)
+            for members in mine[i]:
+                shares[members] = True
+            shares[: i + 1] = False
+            near = np.flatnonzero(shares & (part != part[i]))
             near = near[(np.minimum(n[near], n[i]) * 100 >= np.maximum(n[near], n[i]) * percent)]
             if not one:
                 near = near[block[near] != block[i]]
-            for j in near:
-                if part[j] != part[i] and _linked(sets[i], sets[j], percent):
+            if not len(near):
+                continue
+            own = flat[of_set[i] : of_set[i + 1]]
+            marked[own] = True
+            common = np.empty(len(near), np.int64)
+            for k, j in enumerate(near):
+                common[k] = np.count_nonzero(marked[flat[of_set[j] : of_set[j + 1]]])
+            marked[own] = False
+            for j in near[100 * common >= percent * (size[i] + size[near] - common)]:
+                if part[j] != part[i]:
                     part[part == part[j]] = part[i]  # what this joins needs no other link
                     a.append(node[i])
                     b.append(node[j])
