@@ -8,6 +8,7 @@ one round.
 from __future__ import annotations
 
 import uuid
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,36 +147,65 @@ def fixed_point(start: DataFrame, edges: DataFrame, node: str, src: str, dst: st
     return reachable(backwards, start.select(F.col(node).alias("node"))).select(F.col("node").alias(node))
 
 
-def _preorder(after: list[list[int]]) -> tuple[list[int], list[int]]:
-    """Nodes in the order in which a depth-first walk from node 0 meets them, and for each the place of the one it came from."""
-    order, origin, place = [], [], {}
-    stack = [(0, 0)]
-    while stack:
-        node, came = stack.pop()
-        if node in place:
+def _preorder(starts, after) -> tuple[array, array]:
+    """Nodes in the order in which a depth-first walk from node 0 meets them, and for each the place of the one it came from.
+
+    Node x leads to ``after[starts[x]:starts[x + 1]]``.
+    """
+    order, origin = array("i"), array("i")
+    met = bytearray(len(starts) - 1)
+    nodes, came = array("i", [0]), array("i", [0])
+    while nodes:
+        node, above = nodes.pop(), came.pop()
+        if met[node]:
             continue
-        place[node] = len(order)
+        met[node] = 1
+        here = len(order)
         order.append(node)
-        origin.append(came)
-        stack += [(x, place[node]) for x in reversed(after[node]) if x not in place]
+        origin.append(above)
+        for i in range(starts[node + 1] - 1, starts[node] - 1, -1):
+            if not met[after[i]]:
+                nodes.append(after[i])
+                came.append(here)
     return order, origin
 
 
+def _packed(a, b, n: int) -> tuple[array, array]:
+    """Links from a to b of n nodes as starts and ends, in order."""
+    import numpy as np
+
+    order = np.lexsort((b, a))
+    starts = np.append(0, np.cumsum(np.bincount(a, minlength=n)))
+    return array("i", starts.astype(np.int32).tobytes()), array("i", np.asarray(b)[order].astype(np.int32).tobytes())
+
+
 def immediate_dominators(after: list[list[int]]) -> tuple[list[int], list[int]]:
-    """For a graph given as each node's successors: the nodes that node 0 reaches, in preorder, and the place of each one's immediate dominator there.
+    """For a graph given as each node's successors: the nodes that node 0 reaches, in preorder, and the place of each one's immediate dominator there."""
+    starts = array("i", [0])
+    for x in after:
+        starts.append(starts[-1] + len(x))
+    order, idom = _idoms(starts, array("i", [y for x in after for y in x]))
+    return list(order), list(idom)
+
+
+def _idoms(starts, after) -> tuple[array, array]:
+    """The same for a graph whose node x leads to ``after[starts[x]:starts[x + 1]]``; four bytes for each number it holds.
 
     Semi-dominators from the last node to the first, over paths that compress
     as they are walked; then each immediate dominator is the nearest node above
     that comes no later than the semi-dominator.
     """
-    order, origin = _preorder(after)
+    import numpy as np
+
+    order, origin = _preorder(starts, after)
     n = len(order)
-    place = {x: i for i, x in enumerate(order)}
-    before: list[list[int]] = [[] for _ in range(n)]
-    for i, x in enumerate(order):
-        for y in after[x]:
-            before[place[y]].append(i)
-    semi, best, above = list(range(n)), list(range(n)), list(origin)
+    place = np.full(len(starts) - 1, -1, np.int32)
+    place[np.asarray(order)] = np.arange(n, dtype=np.int32)
+    ends = np.repeat(place, np.diff(np.asarray(starts)))
+    reached = ends >= 0
+    begin, before = _packed(place[np.asarray(after)[reached]], ends[reached], n) if len(after) else (array("i", bytes(4 * (n + 1))), array("i"))
+    del place, ends, reached
+    semi, best, above = array("i", range(n)), array("i", range(n)), array("i", origin)
 
     def least_on_path(v: int, done: int) -> int:
         """Of the nodes from v up that are done (beyond ``done``), the one with the least semi-dominator; v itself if it isn't."""
@@ -192,8 +222,11 @@ def immediate_dominators(after: list[list[int]]) -> tuple[list[int], list[int]]:
         return best[v]
 
     for w in range(n - 1, 0, -1):
-        semi[w] = min([origin[w], *[semi[least_on_path(v, w)] for v in before[w]]])
-    idom = list(origin)
+        least = origin[w]
+        for i in range(begin[w], begin[w + 1]):
+            least = min(least, semi[least_on_path(before[i], w)])
+        semi[w] = least
+    idom = array("i", origin)
     for w in range(1, n):
         at = origin[w]
         while at > semi[w]:
@@ -203,45 +236,72 @@ def immediate_dominators(after: list[list[int]]) -> tuple[list[int], list[int]]:
 
 
 def _dominated(least: int | None, names):
-    """An applyInArrow function over one graph's nodes and edges, in any order: every node's dominator, sums and whether it is a part."""
+    """An applyInArrow function over one graph's nodes and edges, in any order: every node's dominator, sums and whether it is a part.
+
+    All is held in arrays of numbers, none as objects.
+    """
 
     def run(rows):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         graph = rows.column("graph")[0].as_py()
-        facts = {r["src"]: r for r in rows.filter(pc.is_null(rows.column("dst"))).to_pylist()}
+        is_edge = pc.is_valid(rows.column("dst"))
+        links = rows.filter(is_edge).select(["src", "dst"])
+        facts = rows.filter(pc.invert(is_edge)).drop_columns(["graph", "dst"])
+        kinds = [rows.schema.field("graph").type, rows.schema.field("src").type, rows.schema.field("src").type, pa.int64(), pa.int64(), pa.bool_()]
+        del rows, is_edge
         # In one order whatever the rows' order; ends of edges that are no nodes weigh nothing.
-        edges = [(r["src"], r["dst"]) for r in rows.filter(pc.is_valid(rows.column("dst"))).select(["src", "dst"]).to_pylist()]
-        nodes = sorted({*facts, *[x for e in edges for x in e]})
-        number = {x: i for i, x in enumerate(nodes, 1)}
-        fact = lambda x, name, default: default if x not in facts or facts[x][name] is None else facts[x][name]
-        after: list[list[int]] = [[] for _ in range(len(nodes) + 1)]
-        entered = set(range(1, len(nodes) + 1))
-        for a, b in sorted((number[a], number[b]) for a, b in edges if a != b):
-            after[a].append(b)
-            entered.discard(b)
-        told = [number[x] for x in nodes if fact(x, "entered", False)]
-        after[0] = sorted(told or entered)
-        met = set(_preorder(after)[0])
-        after[0] = sorted({*after[0], *(i for i in range(1, len(nodes) + 1) if i not in met)})
-        order, idom = immediate_dominators(after)
-        total, items = ([0, *[fact(x, name, default) for x in nodes]] for name, default in (("weight", 0), ("items", 1)))
-        total, items = ([v[x] for x in order] for v in (total, items))
+        nodes = pc.unique(pa.chunked_array([*facts.column("src").chunks, *links.column("src").chunks, *links.column("dst").chunks], kinds[1]))
+        nodes = nodes.take(pc.sort_indices(nodes))
+        n = len(nodes)
+        number = lambda c: pc.index_in(c, value_set=nodes).to_numpy().astype(np.int32) + 1
+        of = number(facts.column("src"))
+
+        def fact(name, default, kind):
+            out = np.full(n + 1, default, kind)
+            out[0] = 0
+            out[of] = pc.fill_null(facts.column(name), default).to_numpy().astype(kind)
+            return out
+
+        total, items, told, pinned = fact("weight", 0, np.int64), fact("items", 1, np.int64), fact("entered", False, bool), fact("pinned", False, bool)
+        a, b = number(links.column("src")), number(links.column("dst"))
+        del facts, links, of
+        a, b = a[a != b], b[a != b]
+        if not told.any():
+            told = np.ones(n + 1, bool)
+            told[b] = False
+        told[0] = False
+
+        def entered():
+            first = np.flatnonzero(told).astype(np.int32)
+            return _packed(np.concatenate([np.zeros(len(first), np.int32), a]), np.concatenate([first, b]), n + 1)
+
+        met = np.zeros(n + 1, bool)
+        met[np.asarray(_preorder(*entered())[0])] = True
+        told |= ~met
+        told[0] = False
+        order, idom = _idoms(*entered())
+        del a, b, met, told
+        order = np.asarray(order)
+        total, items, pinned = array("q", total[order].tobytes()), array("q", items[order].tobytes()), pinned[order]
         for w in range(len(order) - 1, 0, -1):
             total[idom[w]] += total[w]
             items[idom[w]] += items[w]
-        out: list[list] = [[] for _ in range(6)]
-        taken = [False] * len(order)
+        above, sums, counts = np.asarray(idom), np.asarray(total), np.asarray(items)
+        movable = np.zeros(len(order), bool)
+        if least is not None:
+            movable = ~pinned & (counts >= 2) & (sums >= least) & (sums[0] - sums >= least)
+        movable[0] = False
+        taken = bytearray(movable.tobytes())
         for w in range(1, len(order)):
-            name = nodes[order[w] - 1]
-            movable = least is not None and not fact(name, "pinned", False) and items[w] >= 2 and total[w] >= least and total[0] - total[w] >= least
-            part = movable and not taken[idom[w]]
-            taken[w] = movable or taken[idom[w]]
-            for column, value in zip(out, (graph, name, None if idom[w] == 0 else nodes[order[idom[w]] - 1], total[w], items[w], part), strict=True):
-                column.append(value)
-        kinds = [rows.schema.field("graph").type, rows.schema.field("src").type, rows.schema.field("src").type, pa.int64(), pa.int64(), pa.bool_()]
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+            taken[w] |= taken[idom[w]]
+        part = movable & ~np.frombuffer(taken, bool)[above]
+        name = nodes.take(pa.array(order[1:] - 1))
+        over = order[above[1:]]
+        dominator = nodes.take(pa.array(np.maximum(over - 1, 0), mask=over == 0))
+        return pa.table([pa.array([graph], kinds[0]).take(pa.array(np.zeros(n, np.int32))), name, dominator, pa.array(sums[1:]), pa.array(counts[1:]), pa.array(part[1:])], names=names)
 
     return run
 

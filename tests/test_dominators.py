@@ -78,3 +78,26 @@ def test_odd_graphs(spark, rows):
     edges = spark.createDataFrame([("g", "a", "b"), ("g", "a", "b"), ("g", "b", None), ("g", "a", "a"), (None, "p", "q")], "graph string, src string, dst string")
     assert rows(G.dominators(nodes, edges)) == sorted([("g", "a", None, 1), ("g", "b", "a", 0), ("h", "x", None, 2), (None, "p", None, 0), (None, "q", "p", 0)], key=repr)
     assert G.dominators(nodes.limit(0), edges.limit(0)).collect() == []
+
+
+def test_a_large_graph_is_held_as_numbers():
+    """Four bytes for a number: lists and dictionaries of objects took ten times the rows' own size."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = 60_000
+    node = np.arange(n)
+    src, dst = np.append(node, (node[1:] - 1) // 2), np.append(np.zeros(n, int), node[1:])
+    rows = pa.table({
+        "graph": pa.array(np.zeros(2 * n - 1, np.int32)), "src": pa.array(src), "dst": pa.array(dst, mask=np.arange(2 * n - 1) < n),
+        "weight": pa.array(np.ones(2 * n - 1, np.int64)), "items": pa.array(np.ones(2 * n - 1, np.int64)), "entered": pa.array(src < 0), "pinned": pa.array(src < 0),
+    })
+    tracemalloc.start()
+    out = G._dominated(2, ["graph", "node", "idom", "total", "items", "part"])(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = dict(zip(out.column("node").to_pylist(), out.column("total").to_pylist(), strict=True))
+    assert held[0] == n and held[n - 1] == 1
+    assert peak < 100 * 2 * n, peak
