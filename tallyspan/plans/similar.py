@@ -34,11 +34,6 @@ def _shingles(text):
     return F.flatten(F.transform(F.array(F.split(F.lower(text), " ")), of))  # as a variable, a text's words are split once
 
 
-def _heads(read):
-    heads = read("documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("k"))
-    return heads.select("k", _shingles(F.col("text")).alias("ts"))
-
-
 @query(f"""
 WITH RECURSIVE {_NEAR}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT k AS node, k AS other FROM heads UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a
 ), part AS (SELECT node, min(other) AS family FROM r GROUP BY node), named AS (SELECT doc_id, family FROM documents JOIN heads USING (text) JOIN part ON node = k), f AS (SELECT *, count(*) OVER (PARTITION BY family) AS size FROM named)
@@ -52,7 +47,7 @@ def near_families(read):
 @query(f"WITH {_NEAR} SELECT a, b, bp FROM pairs")
 def near_pairs(read):
     """Pairs of all texts, one of each exact family, with their similarity in parts of ten thousand."""
-    return S.near_pairs(_heads(read), "k", F.col("ts"), 8000)
+    return S.near_pairs(read("documents"), "doc_id", _shingles(F.col("text")), 8000, F.col("text"))
 
 
 # Runs grow line by line while they stand elsewhere; the longest from each place is kept if no other site of it has the same line before.
